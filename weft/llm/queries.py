@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ogg
+from . import chat, mixing, ogg
 from .common import read, table
 
 
@@ -53,11 +53,37 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.media_column(read(spark, sf_dir, "documents"))).drop("broken_pages")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one that spells the template's marks; reads ids and masks back."""
+    said = "</s>[INST] ok [/INST]"
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, len(text) + len(regexp_extract_all(text, '(?:<\\*/?s>)|(?:\[\\*/?(?:INST|SYS|ROLE)\])')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 11 END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op7_mixing": op7_mixing,
     "op10_ogg": op10_ogg,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat": OP1_SQL,
     "op7_mixing": OP7_SQL,
 }
