@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ogg
+from . import chat, mixing, ogg, secrets
 from .common import read, table
 
 
@@ -48,6 +48,11 @@ FROM c
 """
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds secrets in every document by rules and by the network trained on what they find."""
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every text as an Ogg file, reads the files back and describes them."""
     return ogg.read_media(ogg.media_column(read(spark, sf_dir, "documents"))).drop("broken_pages")
@@ -80,6 +85,7 @@ FROM e GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
     "op10_ogg": op10_ogg,
 }
 
