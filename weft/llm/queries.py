@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ogg, secrets
+from . import chat, mixing, ogg, secrets, simhash
 from .common import read, table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints all documents and gives each the least id that links of 3 bits or fewer reach."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to weights 1, 2, 3, repeating, at most 3 epochs."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
@@ -84,6 +89,7 @@ FROM e GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op10_ogg": op10_ogg,
