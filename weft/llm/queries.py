@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, ogg, secrets, simhash
+from . import chat, decontaminate, kneser_ney, mixing, ogg, secrets, simhash
 from .common import read, table
 
 
@@ -84,6 +84,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents by a Kneser-Ney model of nine tenths of them."""
+    scored = kneser_ney.score_held_out(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every text as an Ogg file, reads the files back and describes them."""
     return ogg.read_media(ogg.media_column(read(spark, sf_dir, "documents"))).drop("broken_pages")
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_ogg": op10_ogg,
 }
 
