@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, kneser_ney, mixing, ogg, secrets, simhash
+from . import chat, decontaminate, kneser_ney, langid, mixing, ogg, secrets, simhash, toxicity
 from .common import read, table
 
 
@@ -37,11 +37,25 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts every document's language, having learned from those that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out())
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints all documents and gives each the least id that links of 3 bits or fewer reach."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents, having learned from labels that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to weights 1, 2, 3, repeating, at most 3 epochs."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
@@ -122,7 +136,9 @@ FROM e GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
+    "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_kneser_ney": op9_kneser_ney,
