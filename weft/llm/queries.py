@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, kneser_ney, langid, mixing, ogg, secrets, simhash, toxicity
+from . import chat, decontaminate, kneser_ney, langid, mixing, ogg, secrets, simhash, toxicity, urls
 from .common import read, table
 
 
@@ -56,6 +56,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges all pages by the given rules, else by combinations mined from labels of low quality or toxic ones."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urls.judge(read(spark, sf_dir, "pages"), labels)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to weights 1, 2, 3, repeating, at most 3 epochs."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
@@ -139,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_urls": op6_urls,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
     "op9_kneser_ney": op9_kneser_ney,
