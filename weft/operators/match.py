@@ -89,14 +89,18 @@ def match(edges: DataFrame, pattern: Pattern, nodes: DataFrame | None = None, so
                 step = step.join(nodes.filter(filters[a].where).select(F.col("id").alias(a)), a, "left_semi")
         shared = [a for a in dict.fromkeys((e.src, e.dst)) if a in bound]
         fresh = [a for a in dict.fromkeys((e.src, e.dst)) if a not in bound]
+        differ = [(a, b) for i, a in enumerate(fresh) for b in [*bound, *fresh[:i]]] if pattern.injective else []
         if out is None:
             out = step
+        elif e.optional:  # what must differ belongs to the join: a binding without a fit stays, with nulls
+            step = step.withColumnsRenamed({a: f"_{a}" for a in shared})
+            met = [F.col(a) == F.col(f"_{a}") for a in shared] + [F.col(a) != F.col(b) for a, b in differ]
+            out = out.join(step, reduce(lambda a, b: a & b, met, F.lit(True)), "left").drop(*[f"_{a}" for a in shared])
+            differ = []
         else:
-            out = out.join(step, shared, "left" if e.optional else "inner") if shared else out.crossJoin(step)
-        if pattern.injective:
-            for a in fresh:
-                for b in [*bound, *[x for x in fresh if x != a and fresh.index(x) < fresh.index(a)]]:
-                    out = out.filter((F.col(a) != F.col(b)) | F.col(a).isNull() if e.optional else F.col(a) != F.col(b))
+            out = out.join(step, shared) if shared else out.crossJoin(step)
+        for a, b in differ:
+            out = out.filter(F.col(a) != F.col(b))
         bound += fresh
     for n in pattern.nodes:
         if n.min_degree is not None or n.max_degree is not None:
