@@ -1,8 +1,8 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. build_index() writes the postings of all
-words of all training texts, (term, row, pos), ordered by term within each shard of documents; a document is in one shard,
-so nothing is shuffled to build it. A posting with a null term heads each document: its id, word count and mark.
+words of all training texts, (term, row, pos), ordered by the term's hash within each shard of documents; a document is in
+one shard, so nothing is shuffled to build it. A posting without a term heads each document: its id, word count and mark.
 
 phrase_matches() looks test items up. In every window of an item its two rarest terms by training frequency are anchors;
 their lists, with the place in the item subtracted from the place in the document, meet in diagonals. Where enough lists
@@ -22,33 +22,40 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, lower_az, table
 
 WINDOW = 10
-APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What parts words before A-Z are lower-cased.
+APART = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Rows up to which terms, diagonals and wanted places are broadcast; beyond, joins are shuffled.
 MOST_BROADCAST = 400_000
 
 
-def words(text: str | Column) -> Column:
-    text = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), APART), "")
+def pieces(text: str) -> Column:
+    """A text's words, not yet lower-cased."""
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), APART), "")
+
+
+def lowered(word: str) -> Column:
+    """A-Z lower-cased; lower() does just that where all is ASCII, and much faster."""
+    return F.when(F.octet_length(word) == F.char_length(F.col(word)), F.lower(word)).otherwise(lower_az(word))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a written table: term, row, pos (from 1); at pos 0, without a term: doc, n_words, mark."""
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), words(text).alias("words"), F.monotonically_increasing_id().alias("row"))
-    head = F.col("pos") == 0
-    placed = rows.select("row", "doc", "mark", F.size("words").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("pos", "term"))
-    posted = placed.select("term", "row", "pos", F.when(head, F.col("doc")).alias("doc"), F.when(head, F.col("n").cast("long")).alias("n_words"), F.when(head, F.col("mark")).alias("mark"))
-    return table(posted.sortWithinPartitions("term", "row", "pos"), "index")
+    """The index as a written table: term, row, pos (from 1); at pos 0, without a term, head: doc, n_words, mark."""
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), pieces(text).alias("words"), F.monotonically_increasing_id().alias("row"))
+    head = F.struct("doc", F.col("n").cast("long").alias("n_words"), "mark")
+    placed = rows.select("row", "doc", "mark", F.size("words").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("pos", "word"))
+    posted = placed.select(lowered("word").alias("term"), "row", "pos", F.when(F.col("pos") == 0, head).alias("head"))
+    return table(posted.sortWithinPartitions(F.xxhash64("term")), "index")  # one number: a radix sort
 
 
 def documents_of(index: DataFrame) -> DataFrame:
-    return index.filter(F.col("term").isNull()).select("row", "doc", "n_words", "mark")
+    return index.filter(F.col("term").isNull()).select("row", "head.doc", "head.n_words", "head.mark")
 
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item, id, length, at, term): a test item's words with their places, as a written table."""
-    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col(key).alias("id"), words(text).alias("w"))
-    return table(rows.select("item", "id", F.size("w").alias("length"), F.posexplode("w").alias("at", "term")), "items")
+    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col(key).alias("id"), pieces(text).alias("w"))
+    placed = rows.select("item", "id", F.size("w").alias("length"), F.posexplode("w").alias("at", "word"))
+    return table(placed.select("item", "id", "length", "at", lowered("word").alias("term")), "items")
 
 
 def with_frequency(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -121,6 +128,6 @@ def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW) -> D
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a window of an item."""
     found = contamination(build_index(docs, key, text), items)
-    gone = table(found.filter("contaminated").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
-    same = F.col(key).eqNullSafe(F.col("_doc")) & F.xxhash64(text).eqNullSafe(F.col("_mark"))
+    gone = table(found.filter("contaminated").select(F.col("doc").alias("__found_doc"), F.col("mark").alias("__found_mark")).distinct(), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("__found_doc")) & F.xxhash64(text).eqNullSafe(F.col("__found_mark"))
     return docs.join(broadcast_if_small(gone, MOST_BROADCAST), same, "left_anti")
