@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +35,8 @@ LONGEST = 5
 #: Added to each count; what an unseen n-gram of one character counts is left out.
 ADD = 0.5
 UNKNOWN = "und"
-#: Words that a worker remembers the sums of.
-REMEMBERED = 200_000
+#: Characters of the texts that are taken apart at a time.
+CHUNK = 2_000_000
 FOLDS, HELD_OUT = 4, 2
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,7 +44,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 def words(text: str) -> list[str]:
     found = _LETTERS.findall(text.lower())
-    return found if all(map(str.isalpha, found)) else [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return found if "".join(found).isalpha() or not found else [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -51,53 +52,74 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    known: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def __post_init__(self):
-        self.seen: dict[str, np.ndarray | None] = {}
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, a bounded number of characters at a time (a longer text comes alone)."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > CHUNK:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
 
-    def __getstate__(self):
-        return self.languages, self.known, self.grams
 
-    def __setstate__(self, state):
-        self.languages, self.known, self.grams = state
-        self.seen = {}
+@dataclass
+class Model:
+    """Logs of words' and n-grams' frequencies: a row of a matrix each, a column a language."""
 
-    def of_word(self, word: str) -> np.ndarray | None:
-        """Log frequencies by language; None if not even a character is known."""
-        if (found := self.known.get(word)) is not None:
-            return found
+    languages: list[str]
+    known: dict[str, int]
+    known_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
+
+    def of_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct word's logs (0 where not even a character is known), and whether something is known of it."""
+        out, sure = np.zeros((len(found), len(self.languages))), np.zeros(len(found), bool)
+        at = np.fromiter((self.known.get(w, -1) for w in found), np.int64, len(found))
+        there = at >= 0
+        out[there], sure[there] = self.known_logs[at[there]], True
+        left = np.flatnonzero(~there)
         for n in range(LONGEST, 0, -1):
-            if logs := [x for g in grams(word, n) if (x := self.grams.get(g)) is not None]:
-                return np.mean(logs, axis=0)
-        return None
-
-    def predict(self, text: str) -> tuple[str, float]:
-        total, n = np.zeros(len(self.languages)), 0
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        found = words(text)
-        if not found or not self.languages:
-            return UNKNOWN, 0.0
-        for w, times in Counter(found).items():
-            if w in self.seen:
-                x = self.seen[w]
-            else:
-                x = self.seen[w] = self.of_word(w)
-            if x is not None:
-                total += times * x
-                n += times
-        best = int(np.argmax(total))
-        share = np.exp((total - total[best]) / np.sqrt(max(1, n)))
-        return self.languages[best], float(1 / share.sum())
+            if not len(left):
+                break
+            cut = [grams(found[i], n) for i in left.tolist()]
+            sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+            rows = np.fromiter((self.grams.get(g, -1) for c in cut for g in c), np.int64, int(sizes.sum()))
+            word = np.repeat(left, sizes)[rows >= 0]
+            rows = rows[rows >= 0]
+            if len(rows):
+                starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                counts = np.diff(np.concatenate((starts, [len(word)])))
+                out[word[starts]] = np.add.reduceat(self.gram_logs[rows], starts, axis=0) / counts[:, None]
+                sure[word[starts]] = True
+                left = left[~sure[left]]
+        return out, sure
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        out: list[tuple[str, float]] = []
+        for part in chunks(texts):
+            found = [words(t) for t in part]
+            place = {w: i for i, w in enumerate(dict.fromkeys(w for f in found for w in f))}
+            logs, sure = self.of_words(list(place))
+            for f in found:
+                if not f:
+                    out.append((UNKNOWN, 0.0))
+                    continue
+                rows = np.fromiter(map(place.__getitem__, f), np.int64, len(f))
+                total, n = logs[rows].sum(0), int(sure[rows].sum())
+                best = int(np.argmax(total))
+                share = np.exp((total - total[best]) / np.sqrt(max(1, n)))
+                out.append((self.languages[best], float(1 / share.sum())))
+        return out
 
 
 def _logs(rows: list[tuple[str, str, int]], languages: list[str]) -> dict[str, np.ndarray]:
-    """Of (language, word or n-gram, count): the logs of the smoothed frequencies in each language."""
+    """Of (language, word or n-gram, count): the logs of the smoothed frequencies in each language, by word or n-gram."""
     seen: dict[str, np.ndarray] = {}
     at = {name: i for i, name in enumerate(languages)}
     for language, gram, n in rows:
@@ -154,7 +176,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     parts_of: dict[str, np.ndarray] = {}
     for k in range(1, LONGEST + 1):
         parts_of |= _logs(most(f"kind = {k}", MOST_GRAMS // LONGEST), names)
-    return Model(names, known, parts_of)
+    stack = lambda logs: np.array(list(logs.values())).reshape(len(logs), len(names))
+    return Model(names, {w: i for i, w in enumerate(known)}, stack(known), {g: i for i, g in enumerate(parts_of)}, stack(parts_of))
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,7 +185,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def f(batch: pa.RecordBatch) -> dict:
-        found = [held.value.predict(t) for t in strings(batch.column(1))]
+        found = held.value.predict(strings(batch.column(1)))
         return {key: batch.column(0), "lang_pred": [x for x, _ in found], "score": [p for _, p in found]}
 
     return map_batches(docs.select(key, text), f, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
