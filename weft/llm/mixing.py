@@ -50,10 +50,10 @@ def targets(sources: DataFrame, epochs: int = EPOCHS, total: Column | None = Non
     whole = F.sum("source_size").over(everything) if total is None else total
     left = whole - F.coalesce(F.sum(cap).over(before), F.lit(0))
     level = F.struct(F.row_number().over(order).alias("at"), left.alias("left"), F.sum("weight").over(after).alias("over"))
-    marked = sources.withColumn("_level", level).withColumn("_free", F.col("_level.left") * weight <= cap * F.col("_level.over"))
-    found = marked.withColumn("_at", F.min(F.when(F.col("_free"), F.col("_level"))).over(everything))
-    share = (weight * F.col("_at.left")).cast("double") / F.nullif(F.col("_at.over"), F.lit(0))
-    return found.withColumn("target", F.when(F.col("_free"), share).otherwise(cap.cast("double"))).drop("_level", "_free", "_at")
+    marked = sources.withColumn("__mix_level", level).withColumn("__mix_free", F.col("__mix_level.left") * weight <= cap * F.col("__mix_level.over"))
+    found = marked.withColumn("__mix_at", F.min(F.when(F.col("__mix_free"), F.col("__mix_level"))).over(everything))
+    share = (weight * F.col("__mix_at.left")).cast("double") / F.nullif(F.col("__mix_at.over"), F.lit(0))
+    return found.withColumn("target", F.when(F.col("__mix_free"), share).otherwise(cap.cast("double"))).drop("__mix_level", "__mix_free", "__mix_at")
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, weights: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
@@ -64,32 +64,32 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, weights: DataFr
     added = ["size", "source_size", "target", "taken"]
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     counted = word_count(text) if size is None else F.col(size)
-    sized = docs.withColumns({"_size": counted, "_order": digest}).drop(*added).withColumnRenamed("_size", "size")
-    sized = sized.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    buckets = sized.groupBy(F.col(source).alias("source"), "_bucket").agg(F.sum("size").alias("_words"))
-    per_source = buckets.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    sized = docs.withColumns({"__mix_size": counted, "__mix_order": digest}).drop(*added).withColumnRenamed("__mix_size", "size")
+    sized = sized.withColumn("__mix_bucket", F.substring("__mix_order", 1, BUCKET_DIGITS))
+    buckets = sized.groupBy(F.col(source).alias("source"), "__mix_bucket").agg(F.sum("size").alias("__mix_words"))
+    per_source = buckets.groupBy("source").agg(F.sum("__mix_words").alias("source_size"))
     if weights is None:
         weighed = cycled_weights(per_source)
     else:
-        weighed = per_source.join(weights.select(F.col("source").alias("_s"), F.col("weight").cast("long")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna({"weight": 0})
+        weighed = per_source.join(weights.select(F.col("source").alias("__mix_s"), F.col("weight").cast("long")), F.col("source").eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s").fillna({"weight": 0})
     plan = targets(weighed, epochs).withColumn("target", F.coalesce("target", F.lit(0.0)))
     of = F.col("source_size")
     want = F.least(F.round("target").cast("long"), of * epochs)
-    plan = plan.withColumn("_whole", F.when(of > 0, F.floor(want / of)).otherwise(0).cast("long")).withColumn("_rest", want - F.col("_whole") * of)
-    along = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(along), F.lit(0)))
-    cut = cut.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    cut = cut.filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest")))
-    plan = plan.join(cut.select(F.col("source").alias("_s"), F.col("_bucket").alias("_cut"), F.col("_before")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "weight")
-    plan = broadcast_if_small(table(plan.withColumnRenamed("source", "_s"), "mix-plan"), MOST_BROADCAST)
-    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("_s")), "left").drop("_s")
-    inside = F.col("_cut").isNotNull() & (F.col("_bucket") == F.col("_cut"))
-    within = Window.partitionBy(source, "_bucket").orderBy("_order", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.filter(inside).withColumn("_mine", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_mine")))).drop("_mine")
-    sure = joined.filter(~inside).withColumn("_extra", F.when(F.col("_bucket") < F.col("_cut"), F.col("size")).otherwise(F.lit(0)))
-    out = sure.unionByName(edge).withColumn("taken", (F.col("size") * F.col("_whole") + F.col("_extra")).cast("long"))
-    return out.drop("_order", "_bucket", "_cut", "_before", "_whole", "_rest", "_extra")
+    plan = plan.withColumn("__mix_whole", F.when(of > 0, F.floor(want / of)).otherwise(0).cast("long")).withColumn("__mix_rest", want - F.col("__mix_whole") * of)
+    along = Window.partitionBy("source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = buckets.withColumn("__mix_before", F.coalesce(F.sum("__mix_words").over(along), F.lit(0)))
+    cut = cut.join(plan.withColumnRenamed("source", "__mix_s"), F.col("source").eqNullSafe(F.col("__mix_s"))).drop("__mix_s")
+    cut = cut.filter((F.col("__mix_before") < F.col("__mix_rest")) & (F.col("__mix_before") + F.col("__mix_words") >= F.col("__mix_rest")))
+    plan = plan.join(cut.select(F.col("source").alias("__mix_s"), F.col("__mix_bucket").alias("__mix_cut"), F.col("__mix_before")), F.col("source").eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s", "weight")
+    plan = broadcast_if_small(table(plan.withColumnRenamed("source", "__mix_s"), "mix-plan"), MOST_BROADCAST)
+    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s")
+    inside = F.col("__mix_cut").isNotNull() & (F.col("__mix_bucket") == F.col("__mix_cut"))
+    within = Window.partitionBy(source, "__mix_bucket").orderBy("__mix_order", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = joined.filter(inside).withColumn("__mix_mine", F.col("__mix_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    edge = edge.withColumn("__mix_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__mix_rest") - F.col("__mix_mine")))).drop("__mix_mine")
+    sure = joined.filter(~inside).withColumn("__mix_extra", F.when(F.col("__mix_bucket") < F.col("__mix_cut"), F.col("size")).otherwise(F.lit(0)))
+    out = sure.unionByName(edge).withColumn("taken", (F.col("size") * F.col("__mix_whole") + F.col("__mix_extra")).cast("long"))
+    return out.drop("__mix_order", "__mix_bucket", "__mix_cut", "__mix_before", "__mix_whole", "__mix_rest", "__mix_extra")
 
 
 def repetitions(mixed: DataFrame, text: str = "text") -> DataFrame:
