@@ -58,9 +58,10 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): the fingerprint as a signed 64-bit number."""
+    """(key, mark, fp): a hash of the text, and the fingerprint as a signed 64-bit number."""
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(docs.select(key, text), lambda b: {key: b.column(0), "fp": [signed(fingerprint(t)) for t in utf8(b.column(1))]}, f"`{key}` {kind}, fp long")
+    rows = docs.select(key, F.xxhash64(text).alias("mark"), text)
+    return map_batches(rows, lambda b: {key: b.column(0), "mark": b.column(1), "fp": [signed(fingerprint(t)) for t in utf8(b.column(2))]}, f"`{key}` {kind}, mark long, fp long")
 
 
 def split(x: np.ndarray, mask: int, radius: int, tries: int = 3) -> tuple[int, int] | None:
@@ -197,32 +198,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one of each component: the one of the least id; of rows that tie on it, one."""
-    prints = table(fingerprints(docs, key, text), "prints")
-    found = clusters(prints, key)
-    judged = table(prints.join(found, "fp").withColumn("_stays", F.col(key).eqNullSafe(F.col("component_id"))), "judged")
-    gone = judged.filter(~F.col("_stays")).select(F.col(key).alias("_gone")).distinct()
-    stays = docs.join(broadcast_if_small(gone, MOST_BROADCAST), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = judged.filter("_stays").groupBy("root").agg(F.count("*").alias("_n"), F.first(key).alias("_again")).filter("_n > 1")
-    again = table(again.select("_again").distinct(), "again")
+    prints = table(fingerprints(docs, key, text).withColumnRenamed(key, "id"), "prints")
+    judged = prints.join(clusters(prints, "id"), "fp")
+    named = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
+    first = judged.groupBy("root").agg(F.min(named).alias("first"))
+    rows = judged.groupBy("root", "id", "mark").agg(F.count("*").alias("n")).join(first, "root")
+    rows = table(rows.select(F.col("id").alias("__sim_id"), F.col("mark").alias("__sim_mark"), "n", (named == F.col("first")).alias("stays")), "judged")
+    on = F.col(key).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(text) == F.col("__sim_mark"))
+    gone = rows.filter("not stays").select("__sim_id", "__sim_mark")
+    stays = docs.join(broadcast_if_small(gone, MOST_BROADCAST), on, "left_anti")
+    again = rows.filter("stays and n > 1").select("__sim_id", "__sim_mark")
     if again.isEmpty():
         return stays
     again = broadcast_if_small(again, MOST_BROADCAST)
-    on = F.col(key).eqNullSafe(F.col("_again"))
-    once = stays.join(again, on, "left_anti")
-    tied = map_with_print(stays.join(again, on, "left_semi"), text).join(found.withColumnRenamed("fp", "_fp").select("_fp", "root"), "_fp")
-    tied = tied.withColumn("_nth", F.row_number().over(Window.partitionBy("root").orderBy(*[F.col(c) for c in docs.columns])))
-    return once.unionByName(tied.filter("_nth = 1").select(*docs.columns))
-
-
-def map_with_print(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column _fp."""
-    from pyspark.sql.types import LongType, StructType
-
-    kind = StructType(docs.schema.fields).add("_fp", LongType())
-    at = docs.columns.index(text)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signed(fingerprint(t)) for t in utf8(b.column(at))], pa.int64())], [*b.schema.names, "_fp"])
-
-    return docs.mapInArrow(run, kind)
+    tied = stays.join(again, on, "left_semi").withColumn("__sim_text", F.xxhash64(text))
+    w = Window.partitionBy(key, "__sim_text").orderBy(*[F.col(c) for c in docs.columns])
+    tied = tied.withColumn("__sim_nth", F.row_number().over(w)).filter("__sim_nth = 1")
+    return stays.join(again, on, "left_anti").unionByName(tied.select(*docs.columns))
