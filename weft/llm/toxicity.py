@@ -34,6 +34,8 @@ MINED, LEAST_TEXTS, LEAST_RATIO, LEAST_LIFT = 500, 4, 30.0, 5.0
 BEGINNINGS = (4, 5, 6)
 #: Chance that a label of the sample is right, at first; correlation from which voters share weight.
 LABEL_RIGHT, CORRELATED = 0.95, 0.3
+#: Weights that the lexicon's words and their group start with, and keep where the sample does not show them.
+WORD_WEIGHT, GROUP_WEIGHT = 3.0, 3.0
 REMEMBERED = 200_000
 
 # Insults in some languages.
@@ -117,6 +119,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int
         right = np.array([(q @ labels + 5) / (q.sum() + 5.5), ((1 - q) @ (1 - labels) + 5) / ((1 - q).sum() + 5.5)])
         if r == 5 or r == 15:  # correlation of what the label doesn't explain
             rest = votes - both.T @ fire
+            rest[:, ~votes.any(0)] = 0  # a voter that never fires goes with none
             rest /= np.sqrt((rest**2).mean(0)) + 1e-9
             c = np.abs(rest.T @ rest) / len(votes)
             share = 1 / np.where(c >= CORRELATED, c, 0).sum(0).clip(1)
@@ -127,13 +130,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int
     return q, share
 
 
-def regression(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400, penalty: float = 0.0002) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Adam over all rows."""
-    w, first, second = (np.zeros(x.shape[1] + 1) for _ in range(3))
-    w[-1] = -3
+def regression(x: np.ndarray, q: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 400, penalty: float = 0.0002) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Adam over all rows, drawn towards the weights that it starts from."""
+    first, second = (np.zeros(x.shape[1] + 1) for _ in range(2))
+    w = np.append(start, -3.0)
     for t in range(1, rounds + 1):
         d = weight * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - q)
-        g = np.append(x.T @ d / weight.sum() + penalty * w[:-1], d.sum() / weight.sum())
+        g = np.append(x.T @ d / weight.sum() + penalty * (w[:-1] - start), d.sum() / weight.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -198,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         votes[i, r["fired"]] = 1
     weight = np.where(y == 1, prior / (toxic / len(y)), (1 - prior) / (other / len(y)))  # as in the whole
     q, share = label_model(votes, y, toxic / len(y))
-    weights, bias = regression(votes * np.sqrt(share).astype(np.float32), q, weight)
+    start = np.array([WORD_WEIGHT if v in LEXICON else GROUP_WEIGHT if v == GROUPS[0] else 0.0 for v in voters])
+    weights, bias = regression(votes * np.sqrt(share).astype(np.float32), q, weight, start)
     return Model(voters, weights * np.sqrt(share), bias)
 
 
