@@ -92,7 +92,7 @@ def splice(segments: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndar
     return np.concatenate([ids for ids, _ in segments]), np.cumsum(step[:-1], dtype=np.int8)
 
 
-def format_conversations(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def format_conversations(df: DataFrame, tokenizer: str = TOKENIZER, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(conv_id, part, input_ids, loss_mask): a conversation's parts in order, side by side in one partition."""
     file = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     small_batches(df.sparkSession)
@@ -100,7 +100,7 @@ def format_conversations(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     turn = df.schema["turn"].dataType.simpleString()
     encoded = df.select("conv_id", "turn", "role", "text").mapInArrow(_encoder(file), f"conv_id {kind}, turn {turn}, role string, name binary, ids binary")
     together = encoded.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "ids")
-    return together.mapInArrow(_assembler(file), f"conv_id {kind}, part long, input_ids array<int>, loss_mask array<tinyint>")
+    return together.mapInArrow(_assembler(file, part_tokens), f"conv_id {kind}, part long, input_ids array<int>, loss_mask array<tinyint>")
 
 
 def _encoder(file: Broadcast):
@@ -118,7 +118,7 @@ def _encoder(file: Broadcast):
     return run
 
 
-def _assembler(file: Broadcast):
+def _assembler(file: Broadcast, part_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _codec(file.value).first
         open_, key, part, segments, tokens = False, None, 0, [], 0
@@ -140,7 +140,7 @@ def _assembler(file: Broadcast):
                         done.append(flush(kind))
                     open_, key, part, tokens = True, conv, 0, 0
                     segments = [(np.array([first + BEGIN], np.int32), False)]
-                elif tokens >= PART_TOKENS:
+                elif tokens >= part_tokens:
                     done.append(flush(kind))
                     part, tokens, segments = part + 1, 0, []
                 more = turn_segments(role, np.frombuffer(ids, np.int32), np.frombuffer(name, np.int32), first)
