@@ -14,6 +14,10 @@ from weft.operators.traverse import multi_bfs, shortest_distances
 from weft.plans.lineage import table
 
 
+#: Rounds of a loop that are planned as one before the state is written (and, where there is a tolerance, looked at).
+PACE = 3
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -37,7 +41,8 @@ def density(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, weighted: bool = False) -> DataFrame:
-    """(node, rank): ranks start at 1/n; what nodes without outgoing edges have is dropped; stops at an L1 change < tolerance."""
+    """(node, rank): ranks start at 1/n; what nodes without outgoing edges have is dropped; stops once a round changes less than
+    tolerance in all, which is looked at every PACE rounds."""
     w = "weight" if weighted else F.lit(1.0)
     e = edges.select("src", "dst", (F.col("weight") if weighted else w).alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
@@ -45,26 +50,31 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     nodes = table(vertices(edges), "rank-nodes")
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for _ in range(iterations):
+    for i in range(iterations):
         given = e.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
         rank = F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("given", F.lit(0.0))
-        new = table(ranks.withColumnRenamed("rank", "before").join(given, "node", "left").select("node", rank.alias("rank"), "before"), "ranks")
+        new = ranks.withColumnRenamed("rank", "before").join(given, "node", "left").select("node", rank.alias("rank"), "before")
+        cut = (i + 1) % PACE == 0 or i + 1 == iterations
+        new = table(new, "ranks") if cut else new
         ranks = new.select("node", "rank")
-        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0) < tolerance:
+        if cut and tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0) < tolerance:
             break
     return ranks
 
 
-def _power(edges: DataFrame, iterations: int, tolerance: float | None, step, start: float) -> DataFrame:
+def _power(edges: DataFrame, iterations: int, tolerance: float | None, step, start: float, written: bool = False) -> DataFrame:
+    """written: whether step() writes what it is given."""
     e = table(edges.select("src", "dst").distinct(), "power-edges")
     nodes = table(vertices(edges), "power-nodes")
     x = nodes.withColumn("value", F.lit(start))
-    for _ in range(iterations):
+    for i in range(iterations):
         got = e.join(x.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("value").alias("got"))
         met = x.withColumnRenamed("value", "before").join(got, "node", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
-        new = table(step(met), "power")
+        new = step(met)
+        cut = written or (i + 1) % PACE == 0 or i + 1 == iterations
+        new = table(new, "power") if cut and not written else new
         x = new.select("node", "value")
-        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("value") - F.col("before")))).first()[0] or 0) < tolerance:
+        if cut and tolerance is not None and (new.agg(F.sum(F.abs(F.col("value") - F.col("before")))).first()[0] or 0) < tolerance:
             break
     return x
 
@@ -73,12 +83,12 @@ def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float | None
     """(node, value): power iteration with the vector at length 1; give edges both ways for an undirected graph."""
 
     def step(met: DataFrame) -> DataFrame:
-        met = table(met, "power-sums")
+        met = table(met, "power-sums")  # read for the length and for the vector
         length = met.agg(F.sqrt(F.sum(F.col("got") * F.col("got")))).first()[0] or 0.0
         return met.withColumn("value", F.col("got") / length if length else F.lit(0.0))
 
     n = max(1, vertices(edges).count())
-    return _power(edges, iterations, tolerance, step, n**-0.5)
+    return _power(edges, iterations, tolerance, step, n**-0.5, written=True)
 
 
 def katz(edges: DataFrame, alpha: float = 0.1, beta: float = 1.0, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
