@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.plans.lineage import broadcast_if_small
 from weft.sources.tables import Graph
 
 
@@ -27,22 +30,34 @@ def bucketed(rows: DataFrame, value: str, width: float = 0.1) -> DataFrame:
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+#: Cells of equal width that a group's values are counted in before any are put in order.
+CELLS = 4096
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """count, mean, min, max, population deviation, and the ordered values at index floor(n p) of each group.
 
-    Of each group only distinct values with their counts are put in order.
+    Values are counted in cells first; only those in the cell that holds an index are put in order, so that a group with
+    very many rows is not one task's sort.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*by).orderBy(value)
-    before = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    known = rows.filter(F.col(value).isNotNull())
+    v = F.col(value).cast("double")
+    bounds = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.stddev_pop(v).alias("deviation"))
+    named = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("_all"), F.col("least").cast("double").alias("_low"), F.col("most").cast("double").alias("_high"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    width = F.nullif((F.col("_high") - F.col("_low")) / CELLS, F.lit(0.0))
+    placed = known.join(broadcast_if_small(named), same).withColumn("_cell", F.coalesce(F.floor((v - F.col("_low")) / width), F.lit(0)))
+    cells = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
+    along = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS + 1 rows
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
     index = lambda p: F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
-    inside = lambda p: (index(p) >= F.col("_before")) & (index(p) < F.col("_before") + F.col("_n"))
-    at_p = [F.max(F.when(inside(p), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
-    total, n = F.sum(F.col(value) * F.col("_n")), F.sum("_n")
-    mean = total / n
-    deviation = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col(value) * F.col(value) * F.col("_n")) / n - mean * mean))
-    return placed.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), deviation.alias("deviation"), *at_p)
+    held = [F.when((index(p) >= F.col("_before")) & (index(p) < F.col("_before") + F.col("_n")), index(p) - F.col("_before")) for p in at]
+    wanted = cells.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_cell").alias("_at"), F.array(*held).alias("_want")).filter(F.exists("_want", lambda x: x.isNotNull()))
+    inner = placed.drop(*[f"_{c}" for c in by]).join(broadcast_if_small(wanted), same & (F.col("_cell") == F.col("_at")))
+    nth = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(value)) - 1
+    found = inner.withColumn("_nth", nth).groupBy(*by).agg(*[F.max(F.when(F.col("_nth") == F.col("_want")[i], F.col(value))).alias(f"p{round(p * 100)}") for i, p in enumerate(at)])
+    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    return bounds.join(found, same).drop(*[f"_{c}" for c in by])
 
 
 def by_period(rows: DataFrame, by: list[str], time: str, value: str, period: str = "month") -> DataFrame:

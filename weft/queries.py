@@ -1135,4 +1135,195 @@ def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
     return X.provenance(G.read(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", "o_orderkey")
 
 
+# More of the inventory.
 
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 300000 ORDER BY o_orderkey LIMIT 20 OFFSET 10")
+def scan_offset_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Offset and limit count rows that the filter kept."""
+    rows = G.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").orderBy("o_orderkey")
+    return C.scan(rows, where=(F.col("o_orderstatus") == "F") & (F.col("o_totalprice") >= 300000), limit=20, offset=10).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT 'S' || s_suppkey AS id FROM supplier UNION SELECT 'X' || s_suppkey FROM supplier WHERE s_suppkey < 3")
+def insert_new_nodes(spark: SparkSession, d: str) -> DataFrame:
+    known = G.nodes(spark, d, "Supplier").select("id")
+    more = known.limit(0).unionByName(spark.createDataFrame([("X0",), ("X1",), ("X2",), ("S1",), ("X1",)], "id string"))
+    return C.insert_new(known, more)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def validated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of which both ends are nodes."""
+    kept = G.read(spark, d, "customer").filter("c_acctbal >= 0").select(G.node_id("C", "c_custkey").alias("id"))
+    g = G.Graph(kept.unionByName(G.nodes(spark, d, "Order").select("id")), G.edges(spark, d, "PLACED").limit(0))
+    return C.valid_edges(g, G.edges(spark, d, "PLACED")).select(F.substring("dst", 2, 20).cast("long").alias("o_orderkey"))
+
+
+@query("SELECT 'Europe/large' AS hierarchy, 2 AS depth, 'C' || c_custkey AS node FROM customer WHERE c_acctbal >= 9900")
+def group_members(spark: SparkSession, d: str) -> DataFrame:
+    members = G.edges(spark, d, "LOCATED_IN").filter((F.col("weight") >= 9900) & F.col("src").startswith("C")).select(F.col("src").alias("node"))
+    row, inside = C.create_group(members, "g1", "Europe/large")
+    return inside.join(row, "group_id").select("hierarchy", "depth", "node")
+
+
+@query("SELECT count(DISTINCT l_partkey)::BIGINT AS parts FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+def set_intersection(spark: SparkSession, d: str) -> DataFrame:
+    l = G.read(spark, d, "lineitem")
+    a, z = (l.filter(F.col("l_returnflag") == k).select("l_partkey") for k in ("R", "A"))
+    return a.intersect(z).agg(F.count("*").alias("parts"))
+
+
+@query()
+def approximate_counts(spark: SparkSession, d: str) -> DataFrame:
+    return A.approximate(G.read(spark, d, "lineitem"), "l_partkey")
+
+
+@query(f"WITH {parts()}, {BOTH}, {_levels('u', 4, 'SELECT 7::BIGINT AS node')} SELECT coalesce((SELECT min(depth) FROM ({_all_levels(4)}) WHERE node = 70), -1)::INT AS length")
+def bidirectional_search(spark: SparkSession, d: str) -> DataFrame:
+    e = C.both_ways(part_graph(spark, d))
+    found = V.bidirectional(e, F.lit(7).cast("long"), F.lit(70).cast("long"), 4)
+    return spark.range(1).select(F.lit(-1 if found is None else found).alias("length"))
+
+
+@query(f"WITH {suppliers()}, {_UW}, r AS (SELECT * FROM (VALUES (1::BIGINT), (2), (3)) t(s)), " + ", ".join(f"q{k} AS (" + ("SELECT s AS source, s AS node, 0.0::DOUBLE AS distance FROM r" if k == 0 else f"SELECT source, node, min(distance) AS distance FROM (SELECT * FROM q{k - 1} UNION ALL SELECT q.source, uw.dst, q.distance + uw.weight FROM q{k - 1} q JOIN uw ON uw.src = q.node) GROUP BY 1, 2") + ")" for k in range(7)) + " SELECT source, node, distance FROM q6")
+def multi_source_distances(spark: SparkSession, d: str) -> DataFrame:
+    return V.shortest_distances(supplier_graph(spark, d), spark.createDataFrame([(1,), (2,), (3,)], "node long"), "both", 6)
+
+
+@query()
+def spectral_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return N.spectral(supplier_graph(spark, d), 3)
+
+
+@query()
+def maximum_flow(spark: SparkSession, d: str) -> DataFrame:
+    e = G.edges(spark, d, "IN_REGION", "LOCATED_IN").filter(~F.col("src").startswith("C")).withColumn("weight", F.abs("weight"))
+    return spark.range(1).select(F.lit(N.maximum_flow(e, "S1", "R1")).alias("flow"))
+
+
+@query()
+def laplacian_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    values = N.laplacian_eigenvalues(_trade(spark, d))
+    return spark.createDataFrame(list(enumerate(values)), "i int, value double")
+
+
+@query(f"WITH {parts()} SELECT dst AS i, sum(weight * src) AS value FROM e GROUP BY 1")
+def matrix_vector(spark: SparkSession, d: str) -> DataFrame:
+    m = part_graph(spark, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("value"))
+    x = m.select("i").distinct().withColumn("value", F.col("i").cast("double"))
+    return N.matrix_vector(N.transpose(m), x)
+
+
+@query()
+def hyper_eigenvector(spark: SparkSession, d: str) -> DataFrame:
+    return H.eigenvector(G.baskets(spark, d, least=40), 8)
+
+
+@query()
+def hyper_communities(spark: SparkSession, d: str) -> DataFrame:
+    return H.communities(G.baskets(spark, d, least=45), 3)
+
+
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS hid, l_suppkey AS node FROM lineitem WHERE l_quantity >= 49) SELECT '{"hid":' || hid || ',"members":[' || string_agg(node::VARCHAR, ',' ORDER BY node) || ']}' AS line FROM b GROUP BY hid""")
+def hyper_export(spark: SparkSession, d: str) -> DataFrame:
+    return H.export(G.baskets(spark, d, "l_suppkey", 49))
+
+
+@query(f"WITH {parts(45)}, {BOTH} SELECT a.src AS a, z.src AS b, round(count(*) / (SELECT count(*) FROM (SELECT dst FROM u WHERE src = a.src UNION SELECT dst FROM u WHERE src = z.src))::DOUBLE, 9) AS similarity FROM u a JOIN u z ON a.dst = z.dst AND a.src < z.src GROUP BY a.src, z.src")
+def structural_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return H.structural_similarity(part_graph(spark, d, 45)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""
+SELECT 'r:r:' || o_orderkey || '/' || t AS id, t AS original_type FROM orders, (SELECT unnest(['FROM', 'TO']) AS t) WHERE o_totalprice >= 480000""")
+def reify_twice(spark: SparkSession, d: str) -> DataFrame:
+    large = _orders_as_edges(spark, d).filter("price >= 480000")
+    return R.reify_again(*R.reify(large))[0].select("id", "original_type")
+
+
+@query(f"WITH {_META} SELECT rel2 AS rel, count(*) FILTER (WHERE type = 'supports')::BIGINT AS supporters, count(*) FILTER (WHERE type = 'contradicts')::BIGINT AS contradictors FROM m WHERE rel2 IS NOT NULL GROUP BY 1")
+def support_network(spark: SparkSession, d: str) -> DataFrame:
+    meta, _ = _meta(spark, d)
+    none = spark.createDataFrame([], "rel long, reliability double")
+    return R.support(meta, none).select("rel", "supporters", "contradictors")
+
+
+@query("SELECT 'PLACED' AS original_type, count(*)::BIGINT AS reified, count(*)::BIGINT AS complete FROM orders")
+def reification_stats(spark: SparkSession, d: str) -> DataFrame:
+    return R.statistics(*R.reify(_orders_as_edges(spark, d)))
+
+
+@query("SELECT o_custkey AS id, max(k)::INT AS versions FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) FROM customer WHERE c_custkey < 50) GROUP BY 1")
+def versioned_update(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = G.read(spark, d, "orders")
+    known = o.select(F.col("o_custkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("version"), F.col("o_totalprice").alias("v"))
+    changes = G.read(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    return R.update(known, changes).groupBy("id").agg(F.max("version").alias("versions"))
+
+
+@query("""
+WITH v AS (SELECT l_partkey, l_returnflag AS value, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
+SELECT l_partkey, value FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, q DESC, value) AS r FROM v) WHERE r = 1""")
+def consensus_values(spark: SparkSession, d: str) -> DataFrame:
+    facts = G.read(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("value"), F.col("l_quantity").alias("confidence"))
+    return T.consensus(facts, ["l_partkey"], "value").select("l_partkey", "value")
+
+
+@query("SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
+def period_bounds(spark: SparkSession, d: str) -> DataFrame:
+    o = G.read(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("t"))
+    return o.groupBy(S.day_key(S.period_start("t", "month")).alias("first"), S.day_key(S.period_end("t", "month")).alias("last")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') > 0 AS result")
+def sparql_ask(spark: SparkSession, d: str) -> DataFrame:
+    return Q.sparql(G.triples(spark, d), 'ASK { ?c mktsegment "BUILDING" }')
+
+
+@query("SELECT DISTINCT 'R' || n_regionkey AS s, 'sells_to' AS p, c_mktsegment AS o FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def sparql_construct(spark: SparkSession, d: str) -> DataFrame:
+    return Q.sparql(G.triples(spark, d), "CONSTRUCT { ?r sells_to ?m } WHERE { ?c mktsegment ?m ; nationkey ?n . ?n regionkey ?r }")
+
+
+@query(f"WITH {TRIPLES} SELECT DISTINCT p AS p FROM t")
+def distinct_predicates(spark: SparkSession, d: str) -> DataFrame:
+    return Q.distinct_terms(G.triples(spark, d), "p")
+
+
+@query("SELECT c_nationkey::VARCHAR AS \"_1\", count(*)::BIGINT AS count FROM customer GROUP BY 1")
+def datalog_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return _program(spark, d).aggregate("located", [1], count=None)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE levenshtein(lower(p_name), 'red ring') <= 3")
+def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
+    return X.fuzzy_search(G.read(spark, d, "part"), "p_name", "Red Ring", 3).select("p_partkey", "p_name")
+
+
+@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS average FROM lineitem GROUP BY 1")
+def federated_average(spark: SparkSession, d: str) -> DataFrame:
+    return X.federated_average(G.read(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity").withColumn("average", F.round("average", 9))
+
+
+@query()
+def observe_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return X.observe(G.read(spark, d, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity"), ["l_partkey"], "l_extendedprice", "l_quantity")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, d: str) -> DataFrame:
+    return X.duplicates(G.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, round(regr_slope(value, epoch_us(ts) / 3.6e9), 6) AS slope FROM events GROUP BY 1, 2")
+def metric_trend(spark: SparkSession, d: str) -> DataFrame:
+    got = W.trend(G.read(spark, d, "events"), "1 day", ["event_type"])
+    return got.select(S.day_key("start").alias("day"), "event_type", "n", F.round("slope", 6).alias("slope"))
+
+
+@query("SELECT floor(p_size / 10)::BIGINT || '_' || floor(p_retailprice / 100)::BIGINT AS cell, count(*)::BIGINT AS n FROM part GROUP BY 1")
+def spatial_cells(spark: SparkSession, d: str) -> DataFrame:
+    return G.read(spark, d, "part").groupBy(S.spatial_key(F.col("p_size") * 10, "p_retailprice").alias("cell")).agg(F.count("*").alias("n"))
