@@ -113,3 +113,12 @@ def test_change_feed(spark, tmp_path):
         W.apply_changes(feed, str(tmp_path / "out"), "id", lambda old, new: C.apply_changes(old, new, "id"), str(tmp_path / "c")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"out/batch={n}")).count() == 2
     assert rows_of(spark.read.parquet(str(tmp_path / "out/batch=1")), "id", "v") == [(2, "c"), (3, "d")]
+
+
+def test_written_tables_are_discarded(spark):
+    from weft.plans import lineage
+
+    t = lineage.table(spark.range(3), "kept")
+    assert t.count() == 3 and lineage.small(t, 3) and not lineage.small(t, 2)
+    lineage.discard(spark)
+    assert not lineage._made

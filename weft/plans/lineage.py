@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
+
 #: Rows up to which a side is broadcast where its size was checked.
 MOST_BROADCAST = 200_000
 
@@ -25,8 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It stays until discard(), as results that are not yet computed may read it."""
+    _made.append(f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this process has written to the shared folder: for when no result that reads it is needed any more."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
