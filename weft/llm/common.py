@@ -1,16 +1,17 @@
-"""What the operators share: the folder that all executors see, written tables, checked broadcasts."""
+"""What the operators share: written tables and checked broadcasts, batches for Python, words and folds."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.plans.lineage import broadcast_if_small, shared_dir, shared_path, small, table
+
+__all__ = ["broadcast_if_small", "fold", "lower_az", "map_batches", "read", "shared_dir", "shared_path", "small", "small_batches", "strings", "table", "utf8"]
+
 #: Rows in one batch handed to Python; texts may be very long.
 BATCH_ROWS = 1000
 
@@ -22,40 +23,6 @@ UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED_WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset, as in tests, a temporary one is made and set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weft-shared-"))
-        found = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: a lost executor then costs a read, not the work before it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, most: int) -> bool:
-    """Whether df has no more than `most` rows; it reads no more than it needs for that."""
-    return df.limit(most + 1).count() <= most
-
-
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """df with a hint to broadcast it if it has no more than `most` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if small(df, most) else df
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, unless the session asks for less already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -103,5 +70,3 @@ def lower_az(column: str | F.Column) -> F.Column:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-SPACES = re.compile(rb"[\x20\x09-\x0D]+")
