@@ -146,7 +146,12 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as f:
         f.write(array.tobytes())
-    store.move(part, f"{path}/{name}")
+    try:
+        store.move(part, f"{path}/{name}")
+    except OSError:  # some stores do not move onto a file that an earlier try has left: it is the same
+        if store.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            raise
+        store.delete_file(part)
 
 
 def load(folder: str, name: str, kind: type) -> np.ndarray:
