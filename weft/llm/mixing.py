@@ -7,8 +7,9 @@ source's documents in a seeded order: whole ones, until the last one gives the w
 
 Null sources are one source of their own, the last. Repeated rows each count. A source without words has target 0.
 An empty table gives an empty result; extra columns stay unless they have the name of one that is added.
-No step holds one source's rows together: the seeded order is cut into buckets, summed first, and only the one bucket
-per source in which the target is reached is put in order by document.
+No step holds one source's rows together: the seeded order is cut into coarse and fine buckets, summed first; a source's
+coarse buckets, then the fine ones in the coarse one in which the target is reached, are put in order (256 rows each), and
+documents only in that one fine bucket.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, weights: DataFr
     counted = word_count(text) if size is None else F.col(size)
     sized = docs.withColumns({"__mix_size": counted, "__mix_order": digest}).drop(*added).withColumnRenamed("__mix_size", "size")
     sized = sized.withColumn("__mix_bucket", F.substring("__mix_order", 1, BUCKET_DIGITS))
-    buckets = sized.groupBy(F.col(source).alias("source"), "__mix_bucket").agg(F.sum("size").alias("__mix_words"))
+    buckets = table(sized.groupBy(F.col(source).alias("source"), "__mix_bucket").agg(F.sum("size").alias("__mix_words")), "mix-buckets")
     per_source = buckets.groupBy("source").agg(F.sum("__mix_words").alias("source_size"))
     if weights is None:
         weighed = cycled_weights(per_source)
@@ -76,11 +77,17 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED, weights: DataFr
     of = F.col("source_size")
     want = F.least(F.round("target").cast("long"), of * epochs)
     plan = plan.withColumn("__mix_whole", F.when(of > 0, F.floor(want / of)).otherwise(0).cast("long")).withColumn("__mix_rest", want - F.col("__mix_whole") * of)
-    along = Window.partitionBy("source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = buckets.withColumn("__mix_before", F.coalesce(F.sum("__mix_words").over(along), F.lit(0)))
-    cut = cut.join(plan.withColumnRenamed("source", "__mix_s"), F.col("source").eqNullSafe(F.col("__mix_s"))).drop("__mix_s")
-    cut = cut.filter((F.col("__mix_before") < F.col("__mix_rest")) & (F.col("__mix_before") + F.col("__mix_words") >= F.col("__mix_rest")))
-    plan = plan.join(cut.select(F.col("source").alias("__mix_s"), F.col("__mix_bucket").alias("__mix_cut"), F.col("__mix_before")), F.col("source").eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s", "weight")
+    at = lambda df: df.withColumnRenamed("source", "__mix_s")
+    same = F.col("source").eqNullSafe(F.col("__mix_s"))
+    rest = at(plan.select("source", F.col("__mix_rest"), F.lit(0).cast("long").alias("__mix_before"), F.lit("").alias("__mix_cut")))
+    for digits in range(BUCKET_DIGITS // 2, BUCKET_DIGITS + 1, BUCKET_DIGITS // 2):  # coarse buckets, then those within the one that is cut
+        inner = buckets.join(rest, same).filter(F.col("__mix_bucket").startswith(F.col("__mix_cut"))).drop("__mix_s")
+        inner = inner.groupBy("source", F.substring("__mix_bucket", 1, digits).alias("__mix_part")).agg(F.sum("__mix_words").alias("__mix_words"), F.first("__mix_rest").alias("__mix_rest"), F.first("__mix_before").alias("__mix_start"))
+        along = Window.partitionBy("source").orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)
+        upto = inner.withColumn("__mix_before", F.col("__mix_start") + F.coalesce(F.sum("__mix_words").over(along), F.lit(0)))
+        upto = upto.filter((F.col("__mix_before") < F.col("__mix_rest")) & (F.col("__mix_before") + F.col("__mix_words") >= F.col("__mix_rest")))
+        rest = table(at(upto.select("source", "__mix_rest", "__mix_before", F.col("__mix_part").alias("__mix_cut"))), "mix-cut")
+    plan = plan.join(rest.drop("__mix_rest"), same, "left").drop("__mix_s", "weight")
     plan = broadcast_if_small(table(plan.withColumnRenamed("source", "__mix_s"), "mix-plan"), MOST_BROADCAST)
     joined = sized.join(plan, F.col(source).eqNullSafe(F.col("__mix_s")), "left").drop("__mix_s")
     inside = F.col("__mix_cut").isNotNull() & (F.col("__mix_bucket") == F.col("__mix_cut"))
