@@ -81,3 +81,29 @@ def test_oracles(spark):
         columns = [c[0] for c in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert rows_of(df, *sorted(columns)) == sorted((tuple(plain(r[columns.index(c)]) for c in sorted(columns)) for r in found.fetchall()), key=repr)
+
+
+def test_odd_and_empty_documents(spark, planted, odd, none):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    clash = {c: F.lit("x") for c in ("toxic", "fp", "root", "row", "term", "pos", "mark", "spans", "size", "target", "taken", "repeat", "id", "source_size", "words", "host", "_y", "_doc", "stays")}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, planted).count() == 0
+        out = stage(spark, odd.withColumns(clash), planted)
+        assert out.count() >= 1 and set(odd.columns) <= set(out.columns), name
+        if name in ("toxicity", "secrets"):
+            assert rows_of(out.select(*odd.columns)) == rows_of(odd)
+        if name != "mixing":
+            assert out.columns == [*odd.columns, *clash]
+
+
+def test_empty_labels_and_benchmark(spark, planted, tmp_path):
+    import corpus_pipeline
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{planted}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["decontamination"](spark, docs, str(tmp_path)).count() == docs.count()
+    assert stages["toxicity"](spark, docs, str(tmp_path)).filter("doc_id between 100 and 107").count() == 0  # the lexicon alone
