@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.plans.lineage import broadcast_if_small
+
 
 def _t(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("timestamp")
@@ -116,7 +118,7 @@ def causal_pairs(events: DataFrame, rules: DataFrame, by: list[str], time: str,
 
     rules: (cause, effect), a short list of types.
     """
-    effects = events.join(F.broadcast(rules), F.col(kind) == F.col("effect")).select(*by, "cause", "effect", F.col(time).alias("effect_time"))
+    effects = events.join(broadcast_if_small(rules), F.col(kind) == F.col("effect")).select(*by, "cause", "effect", F.col(time).alias("effect_time"))
     causes = events.select(*by, F.col(kind).alias("cause"), F.col(time).alias("cause_time"))
     met = as_of_join(effects, causes.withColumn("_t", F.col("cause_time")), [*by, "cause"], "effect_time", "cause_time", ["_t"])
     near = met.filter(F.unix_micros(F.col("effect_time").cast("timestamp")) - F.unix_micros(F.col("cause_time_as_of").cast("timestamp")) <= within_seconds * 1_000_000)
