@@ -16,8 +16,10 @@ labels the lexicon alone decides. Columns of other names are kept by keep_clean(
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +53,28 @@ PATTERNS = ("shouting", "exclaiming", "masked", "repeating", "addressing")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"\b[^\W\d_]+[*#@$]{2,}[^\W\d_]")
 _ADDRESSED = re.compile(r"\b(?:you|you're|du bist|tu es|vous êtes|eres)\s+(?:an?|ein|eine|un|une|una)\b", re.IGNORECASE)
-_AGAIN = re.compile(r"\b([^\W\d_]+)(?:\W+\1\b){9}")
+_UPPER, _LOWER = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
+AGAIN = 10  # times that one word follows itself
 
 
-def patterns(text: str) -> list[str]:
-    """Names of the patterns that fire."""
-    upper = sum(map(str.isupper, text[:20_000])) if text[:200].upper() == text[:200] else 0  # only where it begins so
+def repeats(words: list[str]) -> bool:
+    """Whether a word stands AGAIN times in a row."""
+    ends = map(eq, words, words[AGAIN - 1 :])  # the first and the last of a row are equal: few places are left to look at
+    return any(same and words[i : i + AGAIN] == [words[i]] * AGAIN for i, same in enumerate(ends))
+
+
+def patterns(text: str, words: list[str]) -> list[str]:
+    """Names of the patterns that fire on a text and its lower-cased words."""
+    raw = text.encode()
+    upper, lower = (len(raw) - len(raw.translate(None, letters)) for letters in (_UPPER, _LOWER))
     fired = []
-    if upper >= 20 and upper >= 0.6 * sum(map(str.isalpha, text[:20_000])):
+    if upper >= 20 and upper >= 0.6 * (upper + lower):
         fired.append("shouting")
     if "!!" in text:
         fired.append("exclaiming")
     if ("**" in text or "##" in text or "@@" in text or "$$" in text) and _MASKED.search(text):
         fired.append("masked")
-    if _AGAIN.search(text):
+    if repeats(words):
         fired.append("repeating")
     if _ADDRESSED.search(text):
         fired.append("addressing")
@@ -93,7 +103,8 @@ class Model:
             self.seen.clear()
         out: set[int] = set()
         insults = mined = 0
-        for w in set(_LETTERS.findall(text.lower())):
+        words = _LETTERS.findall(text.lower())
+        for w in set(words):
             found = self.seen.get(w)
             if found is None:
                 found = self.seen[w] = tuple(self.at[m] for m in marks(w) if m in self.at)
@@ -102,7 +113,7 @@ class Model:
                 insults += found[0] < len(LEXICON)
                 mined += found[0] >= len(LEXICON)
         out.update(self.at[g] for g, n in zip(GROUPS, (insults, insults - 1, mined, mined - 1, mined - 2), strict=True) if n > 0 and g in self.at)
-        out.update(self.at[f"<{p}>"] for p in patterns(text))
+        out.update(self.at[f"<{p}>"] for p in patterns(text, words))
         return sorted(out)
 
     def score(self, text: str) -> float:
