@@ -199,11 +199,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one of each component: the one of the least id; of rows that tie on it, one."""
     prints = table(fingerprints(docs, key, text).withColumnRenamed(key, "id"), "prints")
-    judged = prints.join(clusters(prints, "id"), "fp")
     named = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
-    first = judged.groupBy("root").agg(F.min(named).alias("first"))
-    rows = judged.groupBy("root", "id", "mark").agg(F.count("*").alias("n")).join(first, "root")
-    rows = table(rows.select(F.col("id").alias("__sim_id"), F.col("mark").alias("__sim_mark"), "n", (named == F.col("first")).alias("stays")), "judged")
+    # What stays is found by fingerprint, of which each is there once; documents meet it in one join that may be split.
+    found = clusters(prints, "id").join(prints.groupBy("fp").agg(F.min(named).alias("least")), "fp")
+    first = found.groupBy("root").agg(F.min("least").alias("first"))
+    stay = table(found.select("fp", "root").join(first, "root").select("fp", "first"), "stay")
+    judged = prints.join(stay, "fp").groupBy("id", "mark").agg(F.first(named == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    rows = table(judged.withColumnsRenamed({"id": "__sim_id", "mark": "__sim_mark"}), "judged")
     on = F.col(key).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(text) == F.col("__sim_mark"))
     gone = rows.filter("not stays").select("__sim_id", "__sim_mark")
     stays = docs.join(broadcast_if_small(gone, MOST_BROADCAST), on, "left_anti")
