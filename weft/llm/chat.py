@@ -38,12 +38,15 @@ PART_TOKENS = 1 << 18
 _SPELLED = re.compile("|".join(f"({re.escape(m[0])})(\\\\*)({re.escape(m[1:])})" for m in MARKS))
 
 
+_ENDINGS = ("s>", "INST]", "SYS]", "ROLE]")  # every mark ends with one of these
+
+
 def escape(text: str) -> str:
-    return _SPELLED.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+    return _SPELLED.sub(lambda m: m[0][0] + "\\" + m[0][1:], text) if any(e in text for e in _ENDINGS) else text
 
 
 def unescape(text: str) -> str:
-    return _SPELLED.sub(lambda m: m[0][0] + m[0][2:] if m[0][1] == "\\" else m[0], text)
+    return _SPELLED.sub(lambda m: m[0][0] + m[0][2:] if m[0][1] == "\\" else m[0], text) if any(e in text for e in _ENDINGS) else text
 
 
 class Codec:
@@ -58,7 +61,7 @@ class Codec:
         self.first = max(ranks.values()) + 1
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(x, np.int32) for x in self.encoding.encode_ordinary_batch(texts, num_threads=1)]
+        return [np.asarray(self.encoding.encode_ordinary(t), np.int32) for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.encoding.decode_bytes(ids.tolist()).decode("utf-8")
