@@ -64,7 +64,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words += own
         words.append(b"")  # no word is empty: its hash is END
         counts[i] = len(own) + 1
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), counts
+    return np.array(list(map(_hashes.__getitem__, words)), np.uint64), counts
 
 
 def previous(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -390,10 +390,16 @@ class _Arrays:
         """Each token's training count, and log10 of its base and its Kneser-Ney probability."""
         m = self.m
         u = previous(h, counts)
-        key, where = np.unique(np.concatenate([h, u]), return_inverse=True)
-        stats = self.words(key)
-        of = {n: x[where[: len(h)]] for n, x in stats.items() if n in ("count", "after")}
-        before = {n: x[where[len(h) :]] for n, x in stats.items() if n != "after"}
+        order = np.argsort(h)
+        key = h[order]
+        starts = np.concatenate(([True], key[1:] != key[:-1]))
+        where = np.empty(len(h), np.int64)
+        where[order] = np.cumsum(starts) - 1
+        begin, first = self.words(np.array([BEGIN], np.uint64)), np.cumsum(counts) - counts
+        of = {n: x[where] for n, x in self.words(key[starts]).items()}
+        before = {n: np.concatenate((begin[n], x[:-1])) for n, x in of.items() if n != "after"}
+        for n, x in before.items():
+            x[first] = begin[n][0]
         base = np.log10((of["count"] + ADD) / (m.n + ADD * (m.v + 1)))
         k = of["after"]
         low = self.lower_left / (m.v + 1) + (k - np.take((0.0, *m.lower), np.minimum(k, 3))) / max(1, m.pairs)
