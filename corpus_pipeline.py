@@ -1,7 +1,7 @@
 """From documents to a training mix, in stages; each is written as Parquet and read again as the next one's documents.
 
-All stages but the last keep the columns of documents. Documents that are toxic go; of each group of near copies one stays
-(the least doc_id); documents that hold a benchmark passage go; secrets are replaced by a mark (and n_chars is counted
+All stages but the last keep the columns of documents. Documents that are toxic go; of each group of near copies (a
+Jaccard similarity of 5-word shingles of 0.8 or more, also through others) one stays, the least doc_id; documents that hold a benchmark passage go; secrets are replaced by a mark (and n_chars is counted
 again); then sources are mixed to their targets: a row for each repetition taken, with repeat (from 0) and words, and of a
 source's last document only as many words as are missing. Extra columns pass through; empty tables give empty results.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, mixing, secrets, simhash, toxicity
+from weft.llm import decontaminate, mixing, nearcopies, secrets, toxicity
 from weft.llm.common import read, shared_path
 
 
@@ -22,7 +22,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return nearcopies.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

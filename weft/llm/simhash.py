@@ -199,9 +199,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one of each component: the one of the least id; of rows that tie on it, one."""
     prints = table(fingerprints(docs, key, text).withColumnRenamed(key, "id"), "prints")
+    return keep_least(docs, prints, clusters(prints, "id").select("fp", "root"), key, text)
+
+
+def keep_least(docs: DataFrame, prints: DataFrame, clustered: DataFrame, key: str, text: str) -> DataFrame:
+    """docs without all but the least id of each root; prints has (id, mark, fp), clustered (fp, root)."""
     named = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
     # What stays is found by fingerprint, of which each is there once; documents meet it in one join that may be split.
-    found = clusters(prints, "id").join(prints.groupBy("fp").agg(F.min(named).alias("least")), "fp")
+    found = clustered.join(prints.groupBy("fp").agg(F.min(named).alias("least")), "fp")
     first = found.groupBy("root").agg(F.min("least").alias("first"))
     stay = table(found.select("fp", "root").join(first, "root").select("fp", "first"), "stay")
     judged = prints.join(stay, "fp").groupBy("id", "mark").agg(F.first(named == F.col("first")).alias("stays"), F.count("*").alias("n"))
