@@ -66,6 +66,21 @@ def test_scan_and_redact(spark, network, odd, none):
     assert (done["text"], done["n_chars"]) == ("a [SECRET] b", 12)
 
 
+def test_keys_late_in_a_run(network):
+    r = random.Random(9)
+    texts, at = [], []
+    for n in range(40):
+        lead = "path/to/page/" * (4 + n % 5)
+        key = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+        texts.append(f"see {lead}{key} there")
+        at.append(4 + len(lead))
+    got = secrets.net_spans(texts, [[] for _ in texts], network)
+    assert sum(any(s <= a and a + 40 <= e for s, e in spans) for a, spans in zip(at, got, strict=True)) >= 38
+    # every character is in a window, and those that hold a rule's finding are left out
+    assert {i for s, e in secrets.windows(3, 130) for i in range(s, e)} == set(range(3, 130)) and secrets.windows(3, 30) == [(3, 30)]
+    assert secrets.net_spans(texts, [[(a, 2, a + 40)] for a in at], network) != got
+
+
 def test_fit_on_documents(spark, sample, none):
     assert 0 < secrets.fit(sample).threshold < 1 and 0 < secrets.fit(none).threshold < 1
 

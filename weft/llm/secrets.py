@@ -1,7 +1,7 @@
 """Secret scans: fixed rules, and a character convolution network over every candidate with its surroundings.
 
 Rules give spans of the kinds assign, access and hex. Candidates are all runs of 16 or more letters, digits and `+/_=-`
-with a letter and a digit in them; the network, in numpy, sees each with the characters around it and adds spans of kind
+with a letter and a digit in them; the network, in numpy, sees each, a long one in windows that overlap, with the characters around and adds spans of kind
 `net` where its calibrated score reaches a threshold. That is the highest at which it still finds RECALL of the findings
 that were held out from training. It is trained on labelled findings: what the rules found in a bounded sample of the
 documents, other candidates there, and seeded made-up examples of both (so an empty table works as well).
@@ -40,6 +40,8 @@ MADE_UP = 800
 RECALL = 0.98
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Characters from one window of a candidate to the next.
+STEP = INSIDE // 2
 ALPHABET = string.ascii_letters + string.digits + "+/_=-.:'\"@ "
 REDACTED = "[SECRET]"
 
@@ -183,7 +185,7 @@ def fit(docs: DataFrame, text: str = "text") -> Network:
         for t in strings(batch.column(0)):
             found = rule_spans(t)
             values = [(s, e) for s, _, e in found]
-            for s, e in candidates(t):
+            for s, e in (w for c in candidates(t) for w in windows(*c)):
                 hit = any(a < e and s < b for a, b in values)
                 seen.append(window(t, s, e).tobytes())
                 labels.append(int(hit))
@@ -196,17 +198,25 @@ def fit(docs: DataFrame, text: str = "text") -> Network:
     return train(x, np.array(labels + [r["y"] for r in sample], float))
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Ranges of INSIDE characters, STEP apart, in which every character of the candidate is; the last ends where it ends."""
+    starts = [*range(start, max(start, end - INSIDE), STEP), max(start, end - INSIDE)]
+    return [(s, min(end, s + INSIDE)) for s in starts]
+
+
 def net_spans(texts: list[str], found: list[list[tuple[int, int, int]]], network: Network) -> list[list[tuple[int, int]]]:
-    """For each text, the candidates that the network takes for secrets and that no rule has found."""
-    where, rows = [], []
+    """For each text, the candidates that the network takes for secrets, by the best of their windows in which no rule has found any."""
+    where, rows, first = [], [], []
     for i, t in enumerate(texts):
         for s, e in candidates(t):
-            if not any(a < e and s < b for a, _, b in found[i]):
+            judged = [window(t, x, y) for x, y in windows(s, e) if not any(a < y and x < b for a, _, b in found[i])]
+            if judged:
                 where.append((i, s, e))
-                rows.append(window(t, s, e))
+                first.append(len(rows))
+                rows += judged
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if rows:
-        for (i, s, e), p in zip(where, network.score(np.array(rows)), strict=True):
+        for (i, s, e), p in zip(where, np.maximum.reduceat(network.score(np.array(rows)), first), strict=True):
             if p >= network.threshold:
                 out[i].append((s, e))
     return out
