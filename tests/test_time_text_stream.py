@@ -122,3 +122,22 @@ def test_written_tables_are_discarded(spark):
     assert t.count() == 3 and lineage.small(t, 3) and not lineage.small(t, 2)
     lineage.discard(spark)
     assert not lineage._made
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from weft.operators import text
+
+    r = __import__("random").Random(4)
+    rows = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "id long, v array<double>")
+    want = sorted(map(tuple, text.nearest(rows, rows, "id", "v", 3).collect()))
+    monkeypatch.setattr(text, "BLOCK", 25)
+    assert sorted(map(tuple, text.nearest(rows, rows, "id", "v", 3).collect())) == want and len(want) == 180
+
+
+def test_nearest_of_many_queries(spark):
+    from weft.operators import text
+
+    rows = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [0.0, 1.0])], "id long, v array<double>")
+    queries = spark.range(10_050).select("id", F.array(F.lit(1.0), F.col("id") / 20_000).alias("v"))
+    got = text.nearest(rows, queries, "id", "v", 1)
+    assert got.count() == 10_050 and got.filter("neighbor <> -1").isEmpty()

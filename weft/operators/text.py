@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.scalars import cosine, word_set
 from weft.operators.analytics import connected_components
-from weft.plans.lineage import broadcast_if_small
+from weft.plans.lineage import broadcast_if_small, table
+
+#: Queries that are broadcast at once.
+BLOCK = 10_000
 
 
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,13 +32,22 @@ def tfidf_search(docs: DataFrame, key: str, text: str, query: str, k: int = 10)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, neighbor, similarity, rank): exact nearest by cosine of a stated, bounded set of queries, in one pass.
+    """(query, neighbor, similarity, rank): exact nearest by cosine of a stated set of queries, a pass for each block of them.
 
     Queries are broadcast, in blocks, against all rows; each task keeps its best k a query before anything is shuffled.
     """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    if not q.limit(10_001).count() <= 10_000:
-        raise ValueError("more than 10,000 queries: give them in blocks")
+    n = -(-q.count() // BLOCK)
+    if n <= 1:
+        return _nearest(rows, q, key, vector, k)
+    # All of a query's copies are in one block, and half as many again are made so that one seldom exceeds BLOCK.
+    n += n // 2 + 1
+    dealt = table(q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(n))), "queries")
+    found = [table(_nearest(rows, dealt.filter(F.col("_block") == i).drop("_block"), key, vector, k), "nearest") for i in range(n)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, q: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     met = rows.select(F.col(key).alias("neighbor"), F.col(vector).alias("_v")).join(F.broadcast(q), F.col("neighbor") != F.col("query"))
     scored = met.select("query", "neighbor", F.round(cosine("_q", "_v"), 9).alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbor")
