@@ -217,3 +217,18 @@ def test_patterns_and_builder(spark):
     assert rows_of(out[0], "path") == [(("a", "b", "c", "d"),)] and rows_of(out[1]) == [("w x",)] and rows_of(out[2]) == [("c",)] and out[3].count() == 4
     assert reified_statement('REIFY (a)-[:KNOWS]->(b) AS k WITH {since: "2001"}')["properties"] == {"since": "2001"}
     assert reified_statement("UNREIFY k") == {"command": "unreify", "name": "k"} and reified_statement("MATCH (n)") is None
+
+
+def test_dedup_similar_over_all_pairs(spark, tmp_path):
+    from weft.queries import QUERIES, _scored
+
+    # the best 300 pairs have one supplier, so only one of them stays; the others come after them
+    lines = [(1, p, 50.0) for p in range(300)] + [(s, p, float(1 + (7 * s + p) % 40)) for s in range(2, 9) for p in range(s, 60, s)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, s, p = [], set(), set()
+    for r in sorted(_scored(spark, str(tmp_path)).collect(), key=lambda r: (-r["score"], r["s"], r["p"])):
+        if r["s"] not in s and r["p"] not in p:
+            want.append((r["s"], r["p"], r["score"]))
+            s.add(r["s"])
+            p.add(r["p"])
+    assert sorted(map(tuple, QUERIES["dedup_similar"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 8

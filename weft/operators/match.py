@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.scalars import jaccard
@@ -156,25 +156,34 @@ def shares_binding(a: DataFrame, b: DataFrame, aliases: list[str], keep: bool) -
 
 
 def without_similar(matches: DataFrame, aliases: list[str], score: str, least: float = 0.8) -> DataFrame:
-    """Of ranked matches (a bounded number, as top() returns), those not similar to a better one that is kept.
+    """Of all matches, those not similar to a better one that is kept.
 
-    Similarity is the share of aliases bound alike; the order is score descending, then aliases. A match is compared with
-    the better ones that share a binding, and it goes if one of them that is itself similar to no better one is similar.
+    Similarity is the share of aliases bound alike; the order is score descending, then aliases. Similar matches are those
+    alike in some set of as many aliases as that takes, so no pairs are made: in rounds, those that are the best in all of
+    their groups by such a set stay, and all others in these groups go.
     """
-    ranked = matches.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(score), *aliases)))
-    each = ranked.select("_rank", F.explode(F.array(*[F.struct(F.lit(x).alias("k"), F.col(x).cast("string").alias("v")) for x in aliases])).alias("e")).select("_rank", "e.k", "e.v")
-    pairs = each.alias("a").join(each.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("b._rank") < F.col("a._rank")))
-    alike = pairs.groupBy(F.col("a._rank").alias("_rank"), F.col("b._rank").alias("_better")).agg(F.count("*").alias("n")).filter(F.col("n") >= least * len(aliases))
-    gone = ranked.sparkSession.createDataFrame([], "_rank int")
-    while True:  # greedy: those are sure to go that are similar to one sure to stay
-        stays = ranked.select("_rank").join(gone, "_rank", "left_anti").join(alike.join(gone.withColumnRenamed("_rank", "_better"), "_better", "left_anti").select("_rank").distinct(), "_rank", "left_anti")
-        next_gone = alike.join(stays.withColumnRenamed("_rank", "_better"), "_better", "left_semi").select("_rank").distinct()
-        from weft.plans.lineage import table
-
-        next_gone = table(gone.unionByName(next_gone).distinct(), "similar")
-        if next_gone.count() == gone.count():
-            return ranked.join(next_gone, "_rank", "left_anti").drop("_rank")
-        gone = next_gone
+    from weft.plans.lineage import table
+
+    need = next((n for n in range(1, len(aliases) + 1) if n >= least * len(aliases)), None)
+    if need is None:
+        return matches
+    numbered = table(matches.withColumn("_row", F.monotonically_increasing_id()), "matches")
+    order = F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("down"), *aliases, "_row")
+    groups = [F.when(reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in c]), F.struct(F.lit(i).alias("k"), F.array(*[F.col(x).cast("string") for x in c]).alias("v"))) for i, c in enumerate(combinations(aliases, need))]
+    rest = table(numbered.select("_row", order.alias("_order"), F.array_compact(F.array(*groups)).alias("_groups")), "rest")
+    kept = []
+    while not rest.isEmpty():
+        each = rest.select("_row", "_order", F.explode("_groups").alias("g"))
+        best = each.groupBy("g").agg(F.min("_order").alias("_best"))
+        beaten = each.join(best, "g").filter(F.col("_order") != F.col("_best")).select("_row").distinct()
+        stay = table(rest.join(beaten, "_row", "left_anti"), "stay")
+        taken = stay.select(F.explode("_groups").alias("g")).distinct()
+        gone = each.join(taken, "g", "left_semi").select("_row").unionByName(stay.select("_row")).distinct()
+        rest = table(rest.join(gone, "_row", "left_anti"), "rest")
+        kept.append(stay.select("_row"))
+    if not kept:
+        return matches
+    return numbered.join(reduce(DataFrame.unionByName, kept), "_row", "left_semi").drop("_row")
 
 
 def binding_similarity(a: Column, b: Column) -> Column:

@@ -503,8 +503,8 @@ def difference_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dedup_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The best 200 pairs without those that share the supplier or the part with a better one that is kept."""
-    return M.without_similar(M.top(_scored(spark, d), "score", ["s", "p"], 200), ["s", "p"], "score", 0.5).select("s", "p", "score")
+    """All pairs without those that share the supplier or the part with a better one that is kept."""
+    return M.without_similar(_scored(spark, d), ["s", "p"], "score", 0.5).select("s", "p", "score")
 
 
 # Traversal.
