@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -61,19 +62,40 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     docs = [(i, f"x y z {i} a b c d e f g h i j k l {i}") for i in range(20)]
     items = [(1, "a b c d e f g h i j k l"), (2, "y z")]
     monkeypatch.setattr(D, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(D, "MOST_FOUND", 0)
     assert result(spark, docs, items) == brute(docs, items)
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "a q q b q c"), (2, "a q q q q q b c"), (3, "c b a"), (4, "a b")], "doc_id long, text string")
-    i = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
-    index = D.build_index(d)
-    found = D.proximity_matches(index, i, 3).join(D.documents_of(index), "row")
-    want = []
-    for k, t in [(1, "a q q b q c"), (2, "a q q q q q b c"), (3, "c b a"), (4, "a b")]:
-        w = t.split()
-        want += [(k, p + 1) for p, x in enumerate(w) if x == "c" and {"a", "b", "c"} <= set(w[max(0, p - 3) : p + 4])]
-    assert {x for x, _ in rows_of(found, "doc", "pos")} <= {1, 3} and (3 in {x for x, _ in want}) == (3 in {x for x, _ in rows_of(found, "doc", "pos")})
+def near(docs, items, slop):
+    """Items of which the rarest term has all the others within slop words, by document."""
+    said = [(i, words(t)) for i, t in docs]
+    n = Counter(w for _, ws in said for w in ws)
+    out = set()
+    for item, t in items:
+        terms = sorted(set(words(t)), key=lambda w: (n[w], w))
+        for i, ws in said if terms else []:
+            if any(w == terms[0] and set(terms) <= set(ws[max(0, p - slop) : p + slop + 1]) for p, w in enumerate(ws)):
+                out.add((i, item))
+    return sorted(out)
+
+
+def test_proximity_against_all_places(spark, monkeypatch):
+    r = random.Random(5)
+    docs = [(1, "a q q b q c"), (2, "a q q q q q b c"), (3, "c b a"), (4, "a b"), (5, None)] + [(10 + i, " ".join(r.choice("abcdefgh") for _ in range(40))) for i in range(20)]
+    items = [(7, "a b c"), (8, "a zz"), (9, "d"), (10, "a b c d e f"), (11, ""), (12, "g g h a b")]
+    for blocks, slop in ((12, 3), (2, 7)):
+        monkeypatch.setattr(D, "BLOCK_BITS", blocks)
+        index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+        found = D.proximity_matches(index, spark.createDataFrame(items, "item_id long, text string"), slop).join(D.documents_of(index), ["shard", "at"])
+        assert sorted(set(rows_of(found, "doc", "id"))) == near(docs, items, slop)
+
+
+def test_long_items_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(D, "STRETCH", 7)
+    r = random.Random(8)
+    item = " ".join(f"v{r.randrange(9)}" for _ in range(100))
+    docs = [(i, " ".join(item.split()[i : i + 9 + i % 4])) for i in range(60)]
+    assert result(spark, docs, [(1, item), (2, "v1")]) == brute(docs, [(1, item), (2, "v1")])
 
 
 def test_stage_keeps_clean_rows(spark, odd):

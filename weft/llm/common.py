@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.plans.lineage import broadcast_if_small, shared_dir, shared_path, small, table
+from weft.plans.lineage import broadcast_if_small, session_conf, shared_dir, shared_path, small, table
 
-__all__ = ["broadcast_if_small", "fold", "lower_az", "map_batches", "read", "shared_dir", "shared_path", "small", "small_batches", "strings", "table", "utf8"]
+__all__ = ["broadcast_if_small", "fold", "lower_az", "map_batches", "read", "session_conf", "shared_dir", "shared_path", "small", "small_batches", "strings", "table", "utf8"]
 
 #: Rows in one batch handed to Python; texts may be very long.
 BATCH_ROWS = 1000

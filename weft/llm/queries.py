@@ -14,7 +14,7 @@ from .common import read, table
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds every window of the benchmark's items in all documents."""
     index = decontaminate.build_index(read(spark, sf_dir, "documents"))
-    return decontaminate.contamination(index, read(spark, sf_dir, "benchmark")).withColumnRenamed("doc", "doc_id").drop("mark")
+    return decontaminate.contamination(index, read(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP).withColumnRenamed("doc", "doc_id").drop("mark")
 
 
 OP2_SQL = r"""
@@ -30,10 +30,19 @@ g AS (
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT k FROM n))),
 h AS (SELECT g.doc_id, g.p, g.k, n.item_id FROM g JOIN n ON g.k = n.k AND g.phrase = n.phrase),
 c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id),
+a AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+f AS (SELECT term, count(*) AS n FROM a GROUP BY term),
+q AS (SELECT item_id, term, coalesce(f.n, 0) AS n, count(*) OVER (PARTITION BY item_id) AS of, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(f.n, 0), term) AS nth
+      FROM (SELECT DISTINCT item_id, unnest(w) AS term FROM i) LEFT JOIN f USING (term)),
+r AS (SELECT a.doc_id, q.item_id, q.of, a.p FROM a JOIN q ON q.term = a.term AND q.nth = 1),
+s AS (SELECT r.doc_id, r.item_id, r.p FROM r JOIN q ON q.item_id = r.item_id JOIN a ON a.doc_id = r.doc_id AND a.term = q.term AND abs(a.p - r.p) <= 50
+      GROUP BY r.doc_id, r.item_id, r.p HAVING count(DISTINCT q.term) = max(r.of)),
+e AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM s GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated,
+       coalesce(e.n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
 
