@@ -1,15 +1,19 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers map into memory.
-
-Tokens are words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, then one end a text. Tokens are known by 64-bit
-hashes. A pass counts tokens and another pairs of neighbours (a text's first token follows a begin); each task sums what it
-has seen before it sends it, packed by shard, and each shard's task adds up what it gets and writes its arrays, sorted by
-hash, into the shared folder. A word that many tokens follow would make its shard large, so the pairs of words with more
-than a shard's quarter of all tokens are dealt by the pair instead; there are at most four such words a shard.
-Numbers of shards grow with the corpus, so a task's memory does not. Scoring is a narrow pass: workers map the arrays.
-
-p(w|u) = max(c(u,w) - D(c), 0) / c(u) + g(u) p(w);  p(w) = max(k(w) - D'(k), 0) / pairs + g / (V + 1), with k(w) the
-number of distinct tokens before w, three discounts for each order from the counts of counts, and V distinct tokens, end
-included; what an unseen token gets is the last term. After an unseen u, p(w|u) is p(w).
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, kept as sorted hash arrays that workers map into memory.
+
+Tokens are words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, then one end a text; before a text stand as many
+begins as a context is long. Words are known by 64-bit hashes, n-grams by hashes of theirs. One pass counts tokens, another
+the n-grams of the highest order; each task sums what it has seen before it sends it, packed by shard, and each shard's
+task adds up what it gets, writes its arrays, sorted by hash, and tells the next lower order of the different n-grams that
+it has and of their contexts. Numbers of shards grow with the corpus, so a task's memory does not: beyond 2^FAN_BITS shards
+blobs are gathered by their first bits and dealt again, so that they stay large, and beyond 2^FILE_BITS several shards, one
+after the other, write one file with their offsets at its end. An n-gram goes to the shard of its context; where all words
+of the context are hot (more than a shard's quarter of all tokens) it goes by itself. Counts are as wide as they must be.
+
+Order n, contexts u, words w: p_n(w|u) = max(c(u,w) - D(c), 0) / c(u) + g(u) p_(n-1)(w|u without its first word), with c
+the number of times for the highest order, and below it the number of different words before; p_1 is given g / (V + 1) for
+every word, with V distinct tokens, end included. Three discounts for each order come from the counts of counts. After a
+context that was never seen the lower order holds. Scoring is a narrow pass: workers map the files that they need, a
+bounded number at a time, and read from stores that cannot be mapped into memory, never into a local folder.
 
 Null texts count as empty and null ids as the id of empty text. Repeated rows each count. An empty table gives an empty
 result; without training rows every token has probability 1 / (V + 1). Extra columns are left out.
@@ -17,11 +21,12 @@ result; without training rows every token has probability 1 / (V + 1). Extra col
 
 from __future__ import annotations
 
+import json
 import os
+import pickle
 import re
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -36,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, fold, shared_path, small_batches, utf8
 
 HELD_OUT = 10
-ADD = 0.1
+ADD, ORDER = 0.1, 2
 #: Tokens that a task gathers before it sends their sums, and tokens wanted in a shard of each kind.
-FLUSH, TOKENS_A_SHARD, PAIRS_A_SHARD = 3_000_000, 8_000_000, 2_000_000
+FLUSH, TOKENS_A_SHARD, GRAMS_A_SHARD = 3_000_000, 8_000_000, 2_000_000
+#: Shards that one task deals to, and files of a kind, at most, as numbers of bits; files that a worker keeps open.
+FAN_BITS, FILE_BITS, OPEN_FILES = 12, 16, 4096
 #: Words that a worker remembers the hash of.
 REMEMBERED = 300_000
 END, BEGIN = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b"\n")
@@ -74,40 +81,74 @@ def previous(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return u
 
 
+def grams(h: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of the n-gram that ends at each token, a column each."""
+    columns = [h]
+    for _ in range(order - 1):
+        columns.insert(0, previous(columns[0], counts))
+    return columns
+
+
 def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A pair's 64-bit hash."""
+    """A 64-bit hash of two."""
     x = (u * np.uint64(0x9E3779B97F4A7C15)) ^ (w + np.uint64(0xD1B54A32D192ED03))
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
     return x ^ (x >> np.uint64(31))
 
 
+def named(columns: list[np.ndarray]) -> np.ndarray:
+    """An n-gram's hash: a word's own, else that of its context and its last word."""
+    x = columns[0]
+    for c in columns[1:]:
+        x = mixed(x, c)
+    return x
+
+
+def firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What puts keys in order, and where in that order each begins."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
 def summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, and the values of each added up."""
     if not len(keys):
-        return keys, values
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], [np.add.reduceat(v[order], first) for v in values]
+        return keys, [v.astype(np.int64) for v in values]
+    order, first = firsts(keys)
+    return keys[order[first]], [np.add.reduceat(v[order].astype(np.int64), first) for v in values]
+
+
+def summed_grams(columns: list[np.ndarray], c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct n-grams by their hash: hashes in order, columns, sums."""
+    key = named(columns)
+    order, first = firsts(key)
+    at = order[first]
+    return key[at], [x[at] for x in columns], np.add.reduceat(c[order].astype(np.int64), first) if len(key) else c.astype(np.int64)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers that are not negative, as wide as the greatest one needs."""
+    return x if x.dtype == np.uint64 else x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    lengths = np.array([len(arrays[0]), len(arrays)], np.int64).tobytes()
-    return zstandard.compress(lengths + b"".join(a.astype(np.uint64).tobytes() if i < 2 else a.astype(np.uint32).tobytes() for i, a in enumerate(arrays)), 1)
+    arrays = tuple(map(narrow, arrays))
+    kinds = np.array([len(arrays), len(arrays[0]), *(a.dtype.itemsize for a in arrays)], np.int64)
+    return zstandard.compress(kinds.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
 
 
 def unpack(blobs: list[bytes]) -> list[np.ndarray]:
-    """The arrays of all blobs, one after another: two of 64 bits, the rest of 32."""
+    """The arrays of all blobs, one after another."""
     parts: list[list[np.ndarray]] = []
     for b in blobs:
         raw = zstandard.decompress(b)
-        n, k = np.frombuffer(raw, np.int64, 2).tolist()
-        at, own = 16, []
-        for i in range(k):
-            kind = np.uint64 if i < 2 else np.uint32
-            own.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+        k, n = np.frombuffer(raw, np.int64, 2).tolist()
+        at, own = 16 + 8 * k, []
+        for width in np.frombuffer(raw, np.int64, k, 16).tolist():
+            own.append(np.frombuffer(raw, f"u{width}", n, at))
+            at += n * width
         parts.append(own)
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -116,18 +157,22 @@ def shard_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def route(u: np.ndarray, pair: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """What deals a pair to its shard: the word before it, or the pair where that word is hot."""
-    return np.where(np.isin(u, hot), pair, u) if len(hot) else u
+def route(columns: list[np.ndarray], key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What deals an n-gram to its shard: its context, or itself where all words of that are hot."""
+    context = named(columns[:-1])
+    if not len(hot):
+        return context
+    return np.where(np.logical_and.reduce([np.isin(c, hot) for c in columns[:-1]]), key, context)
 
 
 def sliced(by: np.ndarray, bits: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(shard, blob) of arrays, dealt by the first bits of `by`."""
-    order = np.argsort(by)
+    order = np.argsort(by, kind="stable")
     arrays = tuple(a[order] for a in arrays)
-    edges = np.searchsorted(shard_of(by[order], bits), np.arange((1 << bits) + 1))
-    for s in np.flatnonzero(np.diff(edges)).tolist():
-        yield s, pack(*(a[edges[s] : edges[s + 1]] for a in arrays))
+    shard = shard_of(by[order], bits)
+    edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(shard[a]), pack(*(x[a:b] for x in arrays))
 
 
 # Files of the shared folder.
@@ -139,32 +184,66 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
-    """Under its name only when it is whole: a task that is run again just writes the same file."""
-    store, path = place(folder)
-    store.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        f.write(array.tobytes())
+class Writer:
+    """A file of arrays, a set for each shard, and at its end where they are. It gets its name only when it is whole: a task
+    that is run again just writes the same file."""
+
+    def __init__(self, folder: str, name: str):
+        self.store, path = place(folder)
+        self.store.create_dir(path, recursive=True)
+        self.part, self.path = f"{path}/.{name}.{uuid.uuid4().hex}", f"{path}/{name}"
+        self.out, self.at, self.index = self.store.open_output_stream(self.part), 0, {}
+
+    def add(self, shard: int, **arrays: np.ndarray) -> None:
+        own = self.index[shard] = {}
+        for name, x in arrays.items():
+            x = narrow(x)
+            own[name] = (self.at, len(x), x.dtype.itemsize)
+            raw = x.tobytes() + b"\0" * (-x.nbytes % 8)
+            self.out.write(raw)
+            self.at += len(raw)
+
+    def close(self) -> None:
+        end = json.dumps(self.index).encode()
+        self.out.write(end + len(end).to_bytes(8, "little"))
+        self.out.close()
+        try:
+            self.store.move(self.part, self.path)
+        except OSError:  # some stores do not move onto a file that an earlier try has left: it is the same
+            if self.store.get_file_info(self.path).type != fs.FileType.File:
+                raise
+            self.store.delete_file(self.part)
+
+
+class Reader:
+    """The arrays of a file: mapped, or, from a store that cannot be mapped, read when they are asked for."""
+
+    def __init__(self, folder: str, name: str):
+        store, path = place(folder)
+        path = f"{path}/{name}"
+        self.mapped = np.memmap(path, np.uint8, "r") if isinstance(store, fs.LocalFileSystem) and os.path.getsize(path) else None
+        self.file = None if self.mapped is not None else store.open_input_file(path)
+        size = len(self.mapped) if self.file is None else self.file.size()
+        n = int.from_bytes(self.bytes(size - 8, 8), "little")
+        self.index = {int(k): v for k, v in json.loads(self.bytes(size - 8 - n, n)).items()}
+
+    def bytes(self, at: int, n: int) -> bytes:
+        return self.mapped[at : at + n].tobytes() if self.file is None else self.file.read_at(n, at)
+
+    def arrays(self, shard: int) -> dict[str, np.ndarray]:
+        out = {}
+        for name, (at, n, width) in self.index.get(shard, {}).items():
+            raw = self.mapped[at : at + n * width] if self.file is None else np.frombuffer(self.file.read_at(n * width, at), np.uint8)
+            out[name] = raw.view(f"u{width}")
+        return out
+
+
+@lru_cache(maxsize=OPEN_FILES)
+def _reader(folder: str, name: str) -> Reader | None:
     try:
-        store.move(part, f"{path}/{name}")
-    except OSError:  # some stores do not move onto a file that an earlier try has left: it is the same
-        if store.get_file_info(f"{path}/{name}").type != fs.FileType.File:
-            raise
-        store.delete_file(part)
-
-
-def load(folder: str, name: str, kind: type) -> np.ndarray:
-    """An array mapped from its file; from a store that cannot be mapped, through an unlinked copy."""
-    store, path = place(folder)
-    path = f"{path}/{name}"
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(path) as f:
-        while some := f.read(1 << 24):
-            copy.write(some)
-        copy.flush()
-        return np.memmap(copy.name, kind, "r") if os.path.getsize(copy.name) else np.zeros(0, kind)
+        return Reader(folder, name)
+    except FileNotFoundError:  # nothing came to its shards
+        return None
 
 
 @dataclass
@@ -172,14 +251,21 @@ class Model:
     """Where the arrays lie, and the sums over them."""
 
     folder: str
+    order: int
     token_bits: int
-    pair_bits: int = 0
+    gram_bits: int = 0
     n: int = 0
     v: int = 0
     pairs: int = 0
     hot: list[int] = field(default_factory=list)
-    discounts: tuple[float, ...] = (0.5, 1.0, 1.5)
-    lower: tuple[float, ...] = (0.5, 1.0, 1.5)
+    #: By order, from 1; and what the discounts of order 1 leave for unseen words.
+    discounts: list[tuple[float, ...]] = field(default_factory=list)
+    left: float = 1.0
+    file_bits: int = FILE_BITS
+
+    def arrays(self, kind: str, shard: int, bits: int) -> dict[str, np.ndarray]:
+        reader = _reader(self.folder, f"{kind}-{shard >> max(0, bits - self.file_bits)}")
+        return reader.arrays(shard) if reader else {}
 
 
 def discounts(counts: list[int]) -> tuple[float, ...]:
@@ -191,248 +277,274 @@ def discounts(counts: list[int]) -> tuple[float, ...]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3))
 
 
-def _sends(df: DataFrame, f) -> DataFrame:
-    """(shard, blob): f gathers a partition's batches of texts and yields what it sends."""
+def frequencies(c: np.ndarray) -> list[int]:
+    """How many there are, and how many of one, two, three and four."""
+    return [len(c), *np.bincount(np.minimum(c, 5).astype(np.int64), minlength=6)[1:5].tolist()]
+
+
+# Passes over texts and shards. Rows on the way are (shard, blob, counts); counts only go to the last shard.
+
+_WAY = "shard long, blob binary, counts array<long>"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    s, blobs, counts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(blobs, pa.binary()), pa.array(counts, pa.list_(pa.int64()))], ["shard", "blob", "counts"])
+
+
+def _sends(df: DataFrame, make: Callable) -> DataFrame:
+    """make(hashes, texts' token counts) gives (shard, blob) for about FLUSH tokens of a partition at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sent in f(tokens(utf8(b.column(0))) for b in batches if b.num_rows):
-            s, blobs = zip(*sent, strict=True) if sent else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(tokens(utf8(b.column(0))))
+                n += len(held[-1][0])
+            if n >= FLUSH:
+                yield from (_rows([(s, x, None)]) for s, x in make(*map(np.concatenate, zip(*held, strict=True))))
+                held, n = [], 0
+        if held:
+            yield from (_rows([(s, x, None)]) for s, x in make(*map(np.concatenate, zip(*held, strict=True))))
 
-    return df.mapInArrow(run, "shard long, blob binary")
+    return df.mapInArrow(run, _WAY)
 
 
-def _flushed(batches: Iterator[tuple[np.ndarray, np.ndarray]], make) -> Iterator:
-    """make(hashes, texts' token counts) for about FLUSH tokens at a time."""
-    held, n = [], 0
-    for h, counts in batches:
-        held.append((h, counts))
-        n += len(h)
-        if n >= FLUSH:
-            yield make(*map(np.concatenate, zip(*held, strict=True)))
-            held, n = [], 0
-    if held:
-        yield make(*map(np.concatenate, zip(*held, strict=True)))
+def _gathered(sent: DataFrame, bits: int, again: Callable) -> DataFrame:
+    """Where there are very many shards, blobs were dealt by their first FAN_BITS bits; again(blobs) deals them by all bits."""
+    if bits <= FAN_BITS:
+        return sent
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now = [], 0, None
+        for b in batches:
+            for s, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and (s != now or size >= FLUSH):
+                    yield from (_rows([(k, x, None)]) for k, x in again(held))
+                    held, size = [], 0
+                now, size = s, size + len(blob) // 4
+                held.append(blob)
+        if held:
+            yield from (_rows([(k, x, None)]) for k, x in again(held))
 
-_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return sent.repartitionById(1 << FAN_BITS, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(run, _WAY)
 
 
-def _summary(rows: list[dict], schema: str) -> pa.Table:
-    return pa.Table.from_pylist(rows, pa.schema([(n, _ARROW[kind]) for n, kind in (c.split() for c in schema.split(", "))]))
+def _by_shard(sent: DataFrame, bits: int, kinds: int, work: Callable, schema: str) -> DataFrame:
+    """work(shard, blobs, counts, file) for every shard, in order, of `kinds` kinds with so many bits each, and one of counts.
 
+    file(kind, shard) gives the writer of a shard's file; a file is closed when the task comes to the next one.
+    """
+    step = max(0, bits - FILE_BITS)
+    groups = (kinds << (bits - step)) + 1
+    group = F.least(F.shiftright("shard", step), F.lit(groups - 1)).cast("int")
 
-def _frequencies(c: np.ndarray) -> list[int]:
-    return np.bincount(np.minimum(c, 5).astype(np.int64), minlength=5)[1:5].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[tuple, Writer] = {}
 
+        def file(folder: str, kind: str, shard: int) -> Writer:
+            key = folder, f"{kind}-{shard >> step}"
+            if key not in files:
+                while files:
+                    files.popitem()[1].close()
+                files[key] = Writer(*key)
+            return files[key]
 
-def count(texts: DataFrame) -> Model:
-    """The model of the column of texts, its arrays written to the shared folder."""
+        now, blobs, counts = None, [], []
+        for b in batches:
+            for s, blob, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if s != now and now is not None:
+                    yield from work(now, blobs, counts, file)
+                    blobs, counts = [], []
+                now = s
+                blobs += [] if blob is None else [blob]
+                counts += [] if c is None else [c]
+        if now is not None:
+            yield from work(now, blobs, counts, file)
+        while files:
+            files.popitem()[1].close()
+
+    return sent.repartitionById(groups, group).sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
+def count(texts: DataFrame, order: int = ORDER) -> Model:
+    """The model of the column of texts, of order 2 or more, its arrays written to the shared folder."""
     spark = texts.sparkSession
     small_batches(spark)
-    folder = shared_path(spark, "ngrams")
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     bits = lambda n, each: int(np.ceil(np.log2(max(1.0, n / each))))
-    m = Model(folder, bits(size / 6, TOKENS_A_SHARD))
+    m = Model(shared_path(spark, "ngrams"), order, bits(size / 6, TOKENS_A_SHARD), file_bits=FILE_BITS)
+    folder, a = m.folder, m.token_bits
 
     # Tokens.
-    a = m.token_bits
 
-    def token_sums(h: np.ndarray, counts: np.ndarray) -> list:
+    def token_sums(h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
         h = np.concatenate([h, np.full(len(counts), BEGIN, np.uint64)])
         key, (c,) = summed(h, [np.ones(len(h), np.uint32)])
-        return list(sliced(key, a, key, np.zeros(len(key), np.uint64), c))
+        return sliced(key, min(a, FAN_BITS), key, c)
+
+    def token_again(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        key, c = unpack(blobs)
+        key, (c,) = summed(key, [c])
+        return sliced(key, a, key, c)
 
-    kept = "shard long, n long, v long, words array<long>, counts array<long>"
+    kept = "n long, v long, words array<long>, counts array<long>"
 
-    def add_tokens(group: pa.Table) -> pa.Table:
-        s = group.column("shard")[0].as_py()
-        key, _, c = unpack(group.column("blob").to_pylist())
-        key, (c,) = summed(key, [c.astype(np.int64)])
-        save(folder, f"token-{s}", key)
-        save(folder, f"count-{s}", c)
+    def add_tokens(s: int, blobs: list, counts: list, file: Callable) -> Iterator[pa.RecordBatch]:
+        key, c = unpack(blobs)
+        key, (c,) = summed(key, [c])
+        file(folder, "token", s).add(s, token=key, count=c)
         top = np.argsort(c)[-64:]
         begin = int(c[key == BEGIN].sum())
-        return _summary([{"shard": s, "n": int(c.sum()) - begin, "v": len(c) - bool(begin), "words": key[top].view(np.int64).tolist(), "counts": c[top].tolist()}], kept)
+        row = [int(c.sum()) - begin], [len(c) - bool(begin)], [key[top].view(np.int64).tolist()], [c[top].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["n", "v", "words", "counts"])
 
-    found = _sends(texts, lambda b: _flushed(b, token_sums)).groupBy("shard").applyInArrow(add_tokens, kept).collect()
+    found = _by_shard(_gathered(_sends(texts, token_sums), a, token_again), a, 1, add_tokens, kept).collect()  # a row a shard
     m.n, m.v = sum(r["n"] for r in found), sum(r["v"] for r in found)
-    m.pair_bits = p = bits(m.n, PAIRS_A_SHARD)
+    m.gram_bits = p = bits(m.n, GRAMS_A_SHARD)
     m.hot = [w & (2**64 - 1) for r in found for w, c in zip(r["words"], r["counts"], strict=True) if c * 4 << p >= m.n] if p else []
-    there = {r["shard"] for r in found}
-    for s in set(range(1 << a)) - there:
-        save(folder, f"token-{s}", np.zeros(0, np.uint64))
-        save(folder, f"count-{s}", np.zeros(0, np.int64))
-
-    # Pairs; then what each says of the words in it, sent to the words' shards.
     hot = np.array(m.hot, np.uint64)
 
-    def pair_sums(h: np.ndarray, counts: np.ndarray) -> list:
-        u = previous(h, counts)
-        pair = mixed(u, h)
-        order = np.argsort(pair)
-        pair = pair[order]
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        c = np.diff(np.concatenate((first, [len(pair)])))
-        u, h = u[order[first]], h[order[first]]
-        return list(sliced(route(u, pair[first], hot), p, u, h, c))
-
-    said = "shard long, blob binary, counts array<long>"
-
-    def add_pairs(group: pa.Table) -> pa.Table:
-        s = group.column("shard")[0].as_py()
-        u, w, c = unpack(group.column("blob").to_pylist())
-        pair = mixed(u, w)
-        order = np.argsort(pair)
-        pair = pair[order]
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        c = np.add.reduceat(c[order].astype(np.int64), first)
-        u, w, pair = u[order[first]], w[order[first]], pair[first]
-        save(folder, f"pair-{s}", pair)
-        save(folder, f"times-{s}", c.astype(np.uint32))
-        one = np.ones(len(c), np.uint32)
-        key, sums = summed(np.concatenate([u, w]), [np.concatenate([x.astype(np.uint32), np.zeros(len(c), np.uint32)]) for x in (c == 1, c == 2, c > 2)] + [np.concatenate([0 * one, one])])
-        rows = [{"shard": k, "blob": b, "counts": None} for k, b in sliced(key, a, key, np.zeros(len(key), np.uint64), *sums)]
-        return _summary([*rows, {"shard": -1, "blob": None, "counts": [len(c), *_frequencies(c)]}], said)
-
-    marks = "shard long, counts array<long>"
-
-    def add_words(group: pa.Table) -> pa.Table:
-        s = group.column("shard")[0].as_py()
-        if s < 0:
-            totals = np.array(group.column("counts").to_pylist(), np.int64).sum(0)
-            return _summary([{"shard": -1, "counts": totals.tolist()}], marks)
-        key, _, *sums = unpack(group.column("blob").to_pylist())
-        key, sums = summed(key, [x.astype(np.int64) for x in sums])
-        own = load(folder, f"token-{s}", np.uint64)
-        at = np.searchsorted(own, key)
-        for name, x in zip(("once", "twice", "more", "after"), sums, strict=True):
-            full = np.zeros(len(own), np.int64)
-            full[at] = x
-            save(folder, f"{name}-{s}", full)
-        k = sums[3]
-        return _summary([{"shard": s, "counts": [0, *_frequencies(k[k > 0])]}], marks)
-
-    sent = _sends(texts, lambda b: _flushed(b, pair_sums)).groupBy("shard").applyInArrow(add_pairs, said)
-    totals = sent.groupBy("shard").applyInArrow(add_words, marks).collect()
-    for s in set(range(1 << a)) - there:
-        for name in ("once", "twice", "more", "after"):
-            save(folder, f"{name}-{s}", np.zeros(0, np.int64))
-    top = [r["counts"] for r in totals if r["shard"] < 0]
-    low = [sum(x) for x in zip(*(r["counts"][1:] for r in totals if r["shard"] >= 0), strict=True)]
-    if top:
-        m.pairs, m.discounts, m.lower = top[0][0], discounts(top[0][1:]), discounts(low)
+    # N-grams of the highest order from the texts, of lower ones from what was said of them.
+
+    def gram_sums(h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        key, columns, c = summed_grams(grams(h, counts, order), np.ones(len(h), np.uint32))
+        return sliced(route(columns, key, hot), min(p, FAN_BITS), *columns, c)
+
+    def gram_again(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        *columns, c = unpack(blobs)
+        key, columns, c = summed_grams(columns, c)
+        return sliced(route(columns, key, hot), p, *columns, c)
+
+    def told(columns: list[np.ndarray], c: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """What n-grams say to the next lower order: of their contexts, and of themselves without the first word."""
+        context = named(columns[:-1])
+        key, sums = summed(context, [c == 1, c == 2, c > 2, c])
+        if len(columns) == 2:
+            after, (one,) = summed(columns[1], [np.ones(len(c), np.uint32)])
+            both, sums = summed(np.concatenate([key, after]), [np.concatenate([x, np.zeros(len(after), np.int64)]) for x in sums] + [np.concatenate([np.zeros(len(key), np.int64), one])])
+            yield from sliced(both, a, both, *sums)
+            return
+        yield from ((s + (1 << p), x) for s, x in sliced(key, p, key, *sums))
+        key, rest, one = summed_grams(columns[1:], np.ones(len(c), np.uint32))
+        yield from sliced(route(rest, key, hot), p, *rest, one)
+
+    def add_grams(k: int) -> Callable:
+        last = 1 << (p + (k < order))  # the shard of counts
+        after = 1 << a if k == 2 else 1 << (p + 1)
+
+        def work(s: int, blobs: list, counts: list, file: Callable) -> Iterator[pa.RecordBatch]:
+            if s >= last:
+                yield from (_rows([(after, None, c)]) for c in counts)
+            elif s >> p:
+                key, *sums = unpack(blobs)
+                key, (once, twice, more, total) = summed(key, sums)
+                file(folder, f"context{k}", s - (1 << p)).add(s - (1 << p), token=key, once=once, twice=twice, more=more, total=total)
+            else:
+                *columns, c = unpack(blobs)
+                key, columns, c = summed_grams(columns, c)
+                file(folder, f"gram{k}", s).add(s, token=key, count=c)
+                yield from (_rows([(t, x, None)]) for t, x in told(columns, c))
+                yield _rows([(after, None, [k, *frequencies(c)])])
+
+        return work
+
+    kept = "level long, counts array<long>"
+
+    def add_words(s: int, blobs: list, counts: list, file: Callable) -> Iterator[pa.RecordBatch]:
+        rows = [(c[0], c[1:]) for c in counts]
+        if s < 1 << a:
+            key, *sums = unpack(blobs)
+            key, (once, twice, more, total, after) = summed(key, sums)
+            file(folder, "word", s).add(s, token=key, once=once, twice=twice, more=more, total=total, after=after)
+            rows = [(1, frequencies(after[after > 0]))]
+        levels: dict[int, np.ndarray] = {}
+        for k, c in rows:
+            levels[k] = levels.get(k, 0) + np.array(c, np.int64)
+        if levels:
+            yield pa.RecordBatch.from_arrays([pa.array(list(levels), pa.int64()), pa.array([x.tolist() for x in levels.values()], pa.list_(pa.int64()))], ["level", "counts"])
+
+    sent = _gathered(_sends(texts, gram_sums), p, gram_again)
+    for k in range(order, 1, -1):
+        sent = _by_shard(sent, p, 1 + (k < order), add_grams(k), _WAY)
+    totals: dict[int, np.ndarray] = {}
+    for r in _by_shard(sent, a, 1, add_words, kept).collect():  # a row a shard
+        totals[r["level"]] = totals.get(r["level"], 0) + np.array(r["counts"], np.int64)
+    m.discounts = [discounts(totals[k][1:].tolist()) if k in totals else (0.5, 1.0, 1.5) for k in range(1, order + 1)]
+    if 2 in totals:
+        m.pairs = int(totals[2][0])
+        types, once, twice = totals[1][:3].tolist()
+        m.left = float(np.dot(m.discounts[0], (once, twice, types - once - twice))) / m.pairs
     return m
 
 
-class _Arrays:
-    """A worker's view of the model."""
-
-    def __init__(self, m: Model):
-        self.m, self.tokens = m, [load(m.folder, f"token-{s}", np.uint64) for s in range(1 << m.token_bits)]
-        names = ("count", "once", "twice", "more", "after")
-        self.stats = {n: [load(m.folder, f"{n}-{s}", np.int64) for s in range(1 << m.token_bits)] for n in names} if m.n else {}
-        self.pair_files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.hot = np.array(m.hot, np.uint64)
-        d, self.lower_left = m.lower, 1.0
-        if m.pairs:
-            left = 0.0
-            for k in self.stats["after"]:
-                left += float(np.take((0.0, *d), np.minimum(k, 3)).sum())
-            self.lower_left = left / m.pairs
-
-    def words(self, key: np.ndarray) -> dict[str, np.ndarray]:
-        """Counts of distinct, ordered tokens; 0 for those not seen."""
-        out = {n: np.zeros(len(key), np.int64) for n in ("count", "once", "twice", "more", "after")}
-        if not self.stats:
-            return out
-        edges = np.searchsorted(shard_of(key, self.m.token_bits), np.arange((1 << self.m.token_bits) + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            own, part = self.tokens[s], slice(edges[s], edges[s + 1])
-            if not len(own):
-                continue
-            at = np.minimum(np.searchsorted(own, key[part]), len(own) - 1)
-            there = own[at] == key[part]
-            for n, x in out.items():
-                x[part] = np.where(there, self.stats[n][s][at], 0)
-        return out
+STATS = ("once", "twice", "more", "total")
+
+
+def looked_up(m: Model, kind: str, bits: int, by: np.ndarray, key: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Numbers of distinct keys, dealt to shards by `by`; 0 for those that are not there."""
+    out = [np.zeros(len(key), np.int64) for _ in names]
+    shard = shard_of(by, bits)
+    order, first = firsts(shard)
+    for part in np.split(order, first[1:]) if len(first) else []:
+        own = m.arrays(kind, int(shard[part[0]]), bits)
+        if own and len(own["token"]):
+            at = np.minimum(np.searchsorted(own["token"], key[part]), len(own["token"]) - 1)
+            there = own["token"][at] == key[part]
+            for x, name in zip(out, names, strict=True):
+                x[part] = np.where(there, own[name][at], 0)
+    return out
 
-    def pairs(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts of pairs."""
-        m = self.m
-        if not m.pairs:
-            return np.zeros(len(u), np.int64)
-        pair = mixed(u, w)
-        order = np.argsort(pair)
-        ordered = pair[order]
-        starts = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        first = order[np.flatnonzero(starts)]
-        shard = shard_of(route(u[first], pair[first], self.hot), m.pair_bits)
-        key, c = pair[first], np.zeros(len(first), np.int64)
-        by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange((1 << m.pair_bits) + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            if s not in self.pair_files:
-                try:
-                    self.pair_files[s] = load(m.folder, f"pair-{s}", np.uint64), load(m.folder, f"times-{s}", np.uint32)
-                except FileNotFoundError:  # no pair came to this shard
-                    self.pair_files[s] = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-            own, times = self.pair_files[s]
-            if len(own):
-                part = by[edges[s] : edges[s + 1]]
-                at = np.minimum(np.searchsorted(own, key[part]), len(own) - 1)
-                c[part] = np.where(own[at] == key[part], times[at], 0)
-        out = np.empty(len(u), np.int64)
-        out[order] = c[np.cumsum(starts) - 1]
-        return out
 
-    def logs(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's training count, and log10 of its base and its Kneser-Ney probability."""
-        m = self.m
-        u = previous(h, counts)
-        order = np.argsort(h)
-        key = h[order]
-        starts = np.concatenate(([True], key[1:] != key[:-1]))
-        where = np.empty(len(h), np.int64)
-        where[order] = np.cumsum(starts) - 1
-        begin, first = self.words(np.array([BEGIN], np.uint64)), np.cumsum(counts) - counts
-        of = {n: x[where] for n, x in self.words(key[starts]).items()}
-        before = {n: np.concatenate((begin[n], x[:-1])) for n, x in of.items() if n != "after"}
-        for n, x in before.items():
-            x[first] = begin[n][0]
-        base = np.log10((of["count"] + ADD) / (m.n + ADD * (m.v + 1)))
-        k = of["after"]
-        low = self.lower_left / (m.v + 1) + (k - np.take((0.0, *m.lower), np.minimum(k, 3))) / max(1, m.pairs)
-        c = self.pairs(u, h)
-        seen = before["count"] > 0
-        total = np.maximum(before["count"], 1)
-        left = (m.discounts[0] * before["once"] + m.discounts[1] * before["twice"] + m.discounts[2] * before["more"]) / total
-        p = np.where(seen, (c - np.take((0.0, *m.discounts), np.minimum(c, 3))) / total + left * low, low)
-        return np.where(h == BEGIN, 0, of["count"]), base, np.log10(p)
-
-
-@lru_cache(maxsize=1)
-def _arrays(folder: str, m: bytes) -> _Arrays:
-    import pickle
-
-    return _Arrays(pickle.loads(m))
+def each_once(key: np.ndarray, f: Callable) -> list[np.ndarray]:
+    """f of where each distinct key is first, for all keys."""
+    order, first = firsts(key)
+    back = np.empty(len(key), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return [x[back] for x in f(order[first])]
+
+
+def logs(m: Model, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's training count, and log10 of its base and its Kneser-Ney probability."""
+    hot = np.array(m.hot, np.uint64)
+    columns = grams(h, counts, m.order)
+    words = np.unique(np.append(h, np.uint64(BEGIN)))
+    (count,) = looked_up(m, "token", m.token_bits, words, words, ("count",))
+    stats = looked_up(m, "word", m.token_bits, words, words, (*STATS, "after"))
+    at = np.searchsorted(words, h)
+    c, k = np.where(h == BEGIN, 0, count[at]), stats[4][at]
+    base = np.log10((c + ADD) / (m.n + ADD * (m.v + 1)))
+    off = lambda d, x: np.take((0.0, *d), np.minimum(x, 3))
+    d = m.discounts[0]
+    p = m.left / (m.v + 1) + (k - off(d, k)) / max(1, m.pairs)
+    for k in range(2, m.order + 1):
+        own, d = columns[m.order - k :], m.discounts[k - 1]
+        key = named(own)
+        (times,) = each_once(key, lambda i: looked_up(m, f"gram{k}", m.gram_bits, route([x[i] for x in own], key[i], hot), key[i], ("count",)))  # noqa: B023
+        if k == 2:
+            of = np.searchsorted(words, own[0])
+            once, twice, more, total = (x[of] for x in stats[:4])
+        else:
+            context = named(own[:-1])
+            once, twice, more, total = each_once(context, lambda i: looked_up(m, f"context{k - 1}", m.gram_bits, context[i], context[i], STATS))  # noqa: B023
+        whole = np.maximum(total, 1)
+        p = np.where(total > 0, (times - off(d, times)) / whole + (d[0] * once + d[1] * twice + d[2] * more) / whole * p, p)
+    return c, base, np.log10(p)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every text."""
-    import pickle
-
     small_batches(docs.sparkSession)
     kept, kind = pickle.dumps(model), docs.schema[key].dataType.simpleString()
     names = [key, "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(kept)
         for b in batches:
             if b.num_rows:
-                arrays = _arrays(model.folder, kept)
                 h, counts = tokens(utf8(b.column(1)))
                 starts = np.cumsum(counts) - counts
-                c, base, kn = arrays.logs(h, counts)
+                c, base, kn = logs(m, h, counts)
                 sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), base, kn)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), *map(pa.array, sums)], names)
 
@@ -443,8 +555,8 @@ def held_out(key: str = "doc_id", of: int = HELD_OUT) -> F.Column:
     return fold(key, of) == 0
 
 
-def score_held_out(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_held_out(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Scores of all texts by the model of those that are not held out, with held_out and train_tokens."""
-    model = count(docs.filter(~held_out(key)).select(text))
+    model = count(docs.filter(~held_out(key)).select(text), order)
     scored = score(docs, model, key, text)
     return scored.withColumns({"held_out": held_out(key), "train_tokens": F.lit(model.n).cast("long")})
