@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weft.llm import arrays as A
 from weft.llm import kneser_ney as K
 
 
@@ -108,14 +109,14 @@ def test_files_of_many_shards(tmp_path):
     from pyarrow import fs
 
     for _ in range(2):  # a task that is run again
-        w = K.Writer(f"file://{tmp_path}/x", "a-0")
+        w = A.Writer(f"file://{tmp_path}/x", "a-0")
         w.add(3, token=np.arange(5, dtype=np.uint64), count=np.array([1, 2, 3, 4, 2**40]))
         w.add(4, token=np.zeros(0, np.uint64), count=np.zeros(0, np.int64))
         w.close()
-    r = K.Reader(f"file:{tmp_path}/x", "a-0")
+    r = A.Reader(f"file:{tmp_path}/x", "a-0")
     assert r.arrays(3)["token"].tolist() == [0, 1, 2, 3, 4] and r.arrays(3)["count"].tolist()[-1] == 2**40 and len(r.arrays(4)["token"]) == 0 and r.arrays(9) == {}
-    far = K.Reader.__new__(K.Reader)  # as from a store that cannot be mapped
+    far = A.Reader.__new__(A.Reader)  # as from a store that cannot be mapped
     far.mapped, far.file, far.index = None, fs.LocalFileSystem().open_input_file(f"{tmp_path}/x/a-0"), r.index
     assert far.arrays(3)["count"].tolist() == r.arrays(3)["count"].tolist()
-    store, path = K.place("mock:///z")
+    store, path = A.place("mock:///z")
     assert not isinstance(store, fs.LocalFileSystem) and path

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,17 +34,78 @@ def test_languages_of_odd_rows(spark, odd, none):
     assert langid.identify(none, m).count() == 0
 
 
+class Held(langid.Model):
+    """A model in a dictionary."""
+
+    def find(self, kind, keys):
+        there = np.array([(kind, k) in self.held for k in keys], bool)
+        return there, np.array([self.held[kind, k] for k in keys if (kind, k) in self.held]).reshape(-1, len(self.languages))
+
+
 def test_backoff_takes_the_longest_known():
-    m = langid.Model(["a", "b"], {"known": 0}, np.array([[-1.0, -2.0]]), {"abcde": 0, "z": 1}, np.array([[-3.0, -4.0], [-5.0, -6.0]]))
+    m = Held(["a", "b"])
+    m.held = {("word", "known"): [-1.0, -2.0], ("gram", "abcde"): [-3.0, -4.0], ("gram", "z"): [-5.0, -6.0]}
     logs, sure = m.of_words(["known", "xabcdez", "qzq", "qqq"])
     assert logs.tolist() == [[-1, -2], [-3, -4], [-5, -6], [0, 0]] and sure.tolist() == [True, True, True, False]
     long = "known xabcdez " * 400_000  # more than one chunk alone
     assert m.predict([long, "", "qzq"])[1] == ("und", 0.0) and m.predict([long])[0][0] == "a"
 
 
+def plain_model(rows):
+    """All counts in dictionaries."""
+    langs = sorted({lang for t, lang in rows if t is not None and lang is not None})
+    counts = {k: Counter() for k in range(6)}
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            for w in langid.words(t):
+                counts[0][lang, w] += 1
+                for k in range(1, 6):
+                    for g in langid.grams(w, k):
+                        counts[k][lang, g] += 1
+    m = Held(langs)
+    m.held = {}
+    for k, c in counts.items():
+        names = {g for _, g in c}
+        sums = [sum(n for (a, _), n in c.items() if a == lang) + 0.5 * len(names) for lang in langs]
+        m.held |= {("gram" if k else "word", g): [math.log((c[lang, g] + 0.5) / s) for lang, s in zip(langs, sums, strict=True)] for g in names}
+    return m
+
+
+def test_predictions_against_plain_counts(spark, sample, odd, monkeypatch):
+    monkeypatch.setattr(langid, "A_SHARD", 20_000)  # several files
+    train = sample.filter(~langid.held_out())
+    m = langid.fit(train)
+    assert m.bits >= 2
+    plain = plain_model([(r["text"], r["lang"]) for r in train.collect()])
+    docs = sample.unionByName(odd).collect()
+    got = langid.identify(spark.createDataFrame(docs, sample.schema), m).collect()
+    want = plain.predict([r["text"] or "" for r in docs])
+    for r, (name, p) in zip(got, want, strict=True):
+        assert r["lang_pred"] == name and abs(r["score"] - p) < 1e-3
+
+
 def test_toxicity_of_held_out_rows(spark):
-    got = {r["doc_id"]: r for r in op5_toxicity(spark, DATA).collect()}
+    sf = DATA.replace("0.001", "0.1")
+    got = {r["doc_id"]: r for r in op5_toxicity(spark, sf).collect()}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    known = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]}
+    both = sum(y and got[i]["predicted"] for i, y in known.items())
+    assert both >= 0.9 * sum(known.values()) and sum(got[i]["predicted"] for i in known) - both <= 0.01 * len(known)
+
+
+def test_scores_against_plain_sums(spark, sample, odd):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    m = toxicity.fit(sample, labels)
+    docs = sample.unionByName(odd).collect()
+    weights = dict(zip(m.voters, m.weights, strict=True))
+    for r, text in zip(toxicity.score(spark.createDataFrame(docs, sample.schema), m).collect(), [r["text"] or "" for r in docs], strict=True):
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        each = [{x for x in (w, f"{w[:4]}-" if len(w) > 4 else "", f"{w[:5]}-" if len(w) > 5 else "", f"{w[:6]}-" if len(w) > 6 else "") if x in weights} for w in sorted(set(found))]
+        fired = set().union(*each)
+        insults, mined = sum(any(x in toxicity.LEXICON for x in e) for e in each), sum(bool(e) and not any(x in toxicity.LEXICON for x in e) for e in each)
+        fired |= {g for g, n in zip(toxicity.GROUPS, (insults, insults - 1, mined, mined - 1, mined - 2), strict=True) if n > 0 and g in weights}
+        fired |= {f"<{p}>" for p in toxicity.patterns(text, found)}
+        assert abs(r["score"] - 1 / (1 + math.exp(-(m.bias + sum(weights[v] for v in fired))))) < 1e-9
 
 
 def test_toxic_words_are_learned(spark):

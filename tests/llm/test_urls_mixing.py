@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
@@ -32,13 +36,70 @@ def test_mined_combinations(spark):
         rows.append((i, f"http://{host}/{first}/{i}?{key}=1"))
         labels.append((i, host == "spam.biz" and first == "buy"))
     pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([*labels, (5, None), (None, True)], "page_id long, blocked boolean")
-    rules = urls.mine(pages, lab).collect()
-    assert rules and all(any("spam" in t or t == "d:biz" for t in x["tokens"]) and "p:buy" in x["tokens"] and len(x["tokens"]) == 2 for x in rules)
+    rules = urls.mine(pages, lab)[0].collect()
+    assert rules and all(any("spam" in t or t == "d:biz" for t in x["items"]) and "p:buy" in x["items"] and len(x["items"]) == 2 for x in rules)
     new = spark.createDataFrame([(1, "http://spam.biz/buy/9999"), (2, "http://spam.biz/read/9999"), (3, "http://fine.info/buy/1"), (4, "https://spam.biz/x/buy?ref=2")], "page_id long, url string")
     verdicts = dict(rows_of(urls.judge(pages.unionByName(new.withColumn("page_id", F.col("page_id") + 10_000)), lab), "page_id", "verdict"))
     assert [verdicts[10_000 + i] for i in (1, 2, 3, 4)] == ["block", "allow", "allow", "block"]
 
 
+def plain_tokens(url):
+    if url is None or "://" not in url:
+        return set()
+    scheme, rest = url.split("://", 1)
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    labels = host.lower().split(".")
+    out = {f"s:{scheme}", f"w:{labels[0]}"} | {"d:" + ".".join(labels[i:]) for i in range(len(labels))}
+    out |= {"p:" + re.sub("[0-9]+", "0", re.sub(r"\.[a-z]+$", "", p)) for p in path.lower().split("/") if p}
+    if m := re.search(r"\.([A-Za-z0-9]+)$", path):
+        out.add("e:" + m[1])
+    if m := re.match(r"^[^?#]*\?([^#]*)", url):
+        out |= {"q:" + k.split("=")[0] for k in m[1].split("&") if k}
+    return out | ({"f:"} if "#" in url else set())
+
+
+def plain_rules(rows):
+    """All combinations of up to three tokens, counted one by one."""
+    n, blocked, seen = len(rows), sum(y for _, y in rows), {}
+    for t, y in rows:
+        for k in (1, 2, 3):
+            for c in itertools.combinations(sorted(t), k):
+                x = seen.setdefault(c, [0, 0])
+                x[0] += 1
+                x[1] += y
+    least = max(8, math.ceil(n * 0.0005))
+    return [set(c) for c, (m, hit) in seen.items() if m >= least and hit / m >= 0.6 and hit / m >= 1.5 * blocked / n]
+
+
+@pytest.mark.parametrize("most", [14, 0])
+def test_miner_against_all_combinations(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "FP_ITEMS", most)  # FP-growth, and level by level
+    r = random.Random(7)
+    rows = []
+    for i in range(400):
+        host, part, key = r.choice(["a.x.org", "b.x.org", "y.biz"]), r.choice(["in", "out", "up"]), r.choice(["k", "l"])
+        rows.append((i, f"http{r.choice(['', 's'])}://{host}/{part}/{r.choice('pq')}{i}.html?{key}={i}" + r.choice(["", "#t"])))
+    bad = lambda u: ("b.x.org/in" in u and "?k" in u) or ("y.biz/up" in u)
+    labels = [(i, bool(bad(u)) if r.random() < 0.9 else r.random() < 0.3) for i, u in rows]
+    verdicts = dict(rows_of(urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, blocked boolean"), rules=()), "page_id", "verdict"))
+    rules = plain_rules([(plain_tokens(u), int(y)) for (_, u), (_, y) in zip(rows, labels, strict=True)])
+    want = {i: "block" if any(x <= plain_tokens(u) for x in rules) else "allow" for i, u in rows}
+    assert verdicts == want and 20 < sum(v == "block" for v in want.values()) < 300
+
+
+def test_urls_with_many_parts_and_labels(spark):
+    trap = "/".join(f"part{chr(97 + i)}" for i in range(26))
+    rows = [(i, f"http://trap.biz/{trap}/{'x' * (i % 7)}/{i}") for i in range(100)] + [(100 + i, f"http://good.info/{'/'.join(trap.split('/')[i % 13 :])}") for i in range(100)]
+    rows += [(300, "http://" + "a." * 5000 + "org/es/" + "z" * 100_000), (301, "http://" + "h" * 70_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i in range(200)], "page_id long, blocked boolean")
+    got = dict(rows_of(urls.judge(pages, labels), "page_id", "verdict"))
+    rules = plain_rules([(plain_tokens(u), int(i < 100)) for i, u in rows[:200]])
+    assert all(got[i] == ("block" if any(x <= plain_tokens(u) for x in rules) else "allow") for i, u in rows[:200])
+    assert all(got[i] == "block" for i in range(100)) and sum(got[i] == "allow" for i in range(100, 200)) > 60 and got[300] == "block" and got[301] == "allow"
+
+
 def filled(sizes, weights, epochs=3):
     """Round by round, as it is told."""
     total, target, free = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))

@@ -5,8 +5,10 @@ unknown is marked at both ends and cut into n-grams of 5 characters; where none
 adds the mean of the known ones' logs. The language with the highest sum wins; the score is its share of the sums'
 exponentials, the sums divided by the root of the number of words, so that long texts are not all certain.
 
-Learned from a sample of rows with text and language: at most SAMPLE of each language, chosen by the hash of the text;
-of their words and n-grams the MOST_WORDS and MOST_GRAMS most frequent are kept, so the model's size is bounded.
+Learned from a sample of rows with text and language: at most SAMPLE of each language, chosen by the hash of the text. All
+their words and n-grams are kept: words are counted once, n-grams from the different words, and the logs lie as arrays,
+sorted by hash, in the shared folder, in shards of a bounded number; workers map them. Only the names of the languages,
+and sums over them, come to the driver.
 
 Texts that are null or have no letter are `und`, score 0. Rows without a language are not learned from. Ties go to the
 first language by name. Repeated rows give repeated results; where nothing can be learned all is `und`. Extra columns
@@ -22,21 +24,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, small_batches, strings, table
+from .arrays import Writer, firsts, reader_of
+from .common import fold, map_batches, shared_path, small_batches, strings, table
 
 SAMPLE = 4_000
-MOST_WORDS, MOST_GRAMS = 60_000, 60_000
-#: Languages learned at most, the most frequent ones.
-MOST_LANGUAGES = 1_000
 LONGEST = 5
 #: Added to each count; what an unseen n-gram of one character counts is left out.
 ADD = 0.5
 UNKNOWN = "und"
-#: Characters of the texts that are taken apart at a time.
-CHUNK = 2_000_000
+#: Characters of the texts that are taken apart at a time; words and n-grams wanted in a shard of the model.
+CHUNK, A_SHARD = 2_000_000, 4_000_000
+#: Spark's and xxhash's seed for the same hash.
+SEED = 42
 FOLDS, HELD_OUT = 4, 2
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -67,33 +70,49 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
 
 @dataclass
 class Model:
-    """Logs of words' and n-grams' frequencies: a row of a matrix each, a column a language."""
+    """Logs of words' and n-grams' frequencies: a row of a matrix each, a column a language, in files by the hash's first bits."""
 
     languages: list[str]
-    known: dict[str, int]
-    known_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    folder: str = ""
+    bits: int = 0
+
+    def find(self, kind: str, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of keys (of kind word or gram) are known, and these ones' logs."""
+        h = np.fromiter((xxhash.xxh64_intdigest(k.encode(), SEED) for k in keys), np.uint64, len(keys))
+        shard = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        there, logs = np.zeros(len(h), bool), np.zeros((len(h), len(self.languages)), np.float32)
+        order, first = firsts(shard)
+        for part in np.split(order, first[1:]) if len(first) else []:
+            s = int(shard[part[0]])
+            file = reader_of(self.folder, f"logs-{s}")
+            own = file.arrays(s) if file else {}
+            if own and len(own[kind]):
+                at = np.minimum(np.searchsorted(own[kind], h[part]), len(own[kind]) - 1)
+                hit = own[kind][at] == h[part]
+                there[part] = hit
+                logs[part[hit]] = own[f"{kind}_logs"].view(np.float32).reshape(-1, len(self.languages))[at[hit]]
+        return there, logs[there]
 
     def of_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct word's logs (0 where not even a character is known), and whether something is known of it."""
-        out, sure = np.zeros((len(found), len(self.languages))), np.zeros(len(found), bool)
-        at = np.fromiter((self.known.get(w, -1) for w in found), np.int64, len(found))
-        there = at >= 0
-        out[there], sure[there] = self.known_logs[at[there]], True
-        left = np.flatnonzero(~there)
+        out = np.zeros((len(found), len(self.languages)))
+        sure, logs = self.find("word", found)
+        out[sure] = logs
+        left = np.flatnonzero(~sure)
         for n in range(LONGEST, 0, -1):
             if not len(left):
                 break
             cut = [grams(found[i], n) for i in left.tolist()]
+            place = {g: i for i, g in enumerate(dict.fromkeys(g for c in cut for g in c))}
+            there, logs = self.find("gram", list(place))
+            row = np.cumsum(there) - 1
             sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-            rows = np.fromiter((self.grams.get(g, -1) for c in cut for g in c), np.int64, int(sizes.sum()))
-            word = np.repeat(left, sizes)[rows >= 0]
-            rows = rows[rows >= 0]
+            at = np.fromiter((place[g] for c in cut for g in c), np.int64, int(sizes.sum()))
+            word, rows = np.repeat(left, sizes)[there[at]], row[at[there[at]]]
             if len(rows):
                 starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
                 counts = np.diff(np.concatenate((starts, [len(word)])))
-                out[word[starts]] = np.add.reduceat(self.gram_logs[rows], starts, axis=0) / counts[:, None]
+                out[word[starts]] = np.add.reduceat(logs[rows].astype(float), starts, axis=0) / counts[:, None]
                 sure[word[starts]] = True
                 left = left[~sure[left]]
         return out, sure
@@ -118,74 +137,88 @@ class Model:
         return out
 
 
-def _logs(rows: list[tuple[str, str, int]], languages: list[str]) -> dict[str, np.ndarray]:
-    """Of (language, word or n-gram, count): the logs of the smoothed frequencies in each language, by word or n-gram."""
-    seen: dict[str, np.ndarray] = {}
-    at = {name: i for i, name in enumerate(languages)}
-    for language, gram, n in rows:
-        seen.setdefault(gram, np.zeros(len(languages)))[at[language]] += n
-    if not seen:
-        return {}
-    sums = np.sum(list(seen.values()), axis=0) + ADD * len(seen)
-    return {g: np.log((x + ADD) / sums).astype(np.float32) for g, x in seen.items()}
-
-
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    parts = 1_000_000
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    names = sorted(r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
-    share = F.least(F.lit(parts), F.floor(F.lit(parts * sample) / F.col("n")))
-    few = rows.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select(F.col("lang").alias("_l"), share.alias("_share"))), F.col("lang") == F.col("_l"))
-    few = few.filter(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(parts)) < F.col("_share")).select("lang", "text")
+def counted_words(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n) of the words of rows (lang, text), as a written table."""
     small_batches(rows.sparkSession)
 
-    def counts(batches):
-        """(kind, language, gram, n): words, kind 0, and n-grams, summed over some batches before they are sent."""
-        held: Counter = Counter()
-
-        def sent():
-            kinds, langs, names, ns = zip(*((k, a, g, n) for (k, a, g), n in held.items()), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(ns, pa.int64())], ["kind", "lang", "gram", "n"])
-
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own: dict[str, Counter] = {}
+            held: Counter = Counter()
             for language, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                own.setdefault(language, Counter()).update(words(t))
-            for language, found in own.items():
-                for w, n in found.items():
-                    held[0, language, w] += n
-                    for k in range(1, LONGEST + 1):
-                        for g in grams(w, k):
-                            held[k, language, g] += n
-            if len(held) > 500_000:
-                yield sent()
-                held.clear()
-        if held:
-            yield sent()
+                held.update((language, w) for w in words(t))
+            if held:
+                langs, names = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(held.values(), pa.int64())], ["lang", "gram", "n"])
+
+    return table(rows.mapInArrow(counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
 
-    summed = few.mapInArrow(counts, "kind int, lang string, gram string, n long").groupBy("kind", "lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = summed.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
 
-    def most(condition, limit: int) -> list[tuple[str, str, int]]:
-        top = by_gram.filter(condition).orderBy(F.desc("total"), "gram").limit(limit).collect()
-        return [(e["lang"], r["gram"], e["n"]) for r in top for e in r["each"]]
+def cut_words(found: DataFrame) -> DataFrame:
+    """(kind, lang, gram, n) of the n-grams of counted words; kind is their length."""
+    piece = lambda of, n: F.when(F.length(of) >= n, F.transform(F.sequence(F.lit(1), F.length(of) - n + 1), lambda i: F.substring(of, i, F.lit(n))))
+    marked = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
+    every = F.array(*[F.struct(F.lit(n).alias("kind"), piece(marked if n > 1 else F.col("gram"), n).alias("grams")) for n in range(1, LONGEST + 1)])
+    cut = found.select("lang", "n", F.inline(every)).select("kind", "lang", F.explode("grams").alias("gram"), "n")
+    return cut.groupBy("kind", "lang", "gram").agg(F.sum("n").alias("n"))
 
-    by_gram = table(by_gram, "grams")
-    known = _logs(most("kind = 0", MOST_WORDS), names)
-    parts_of: dict[str, np.ndarray] = {}
-    for k in range(1, LONGEST + 1):
-        parts_of |= _logs(most(f"kind = {k}", MOST_GRAMS // LONGEST), names)
-    stack = lambda logs: np.array(list(logs.values())).reshape(len(logs), len(names))
-    return Model(names, {w: i for i, w in enumerate(known)}, stack(known), {g: i for i, g in enumerate(parts_of)}, stack(parts_of))
+
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    parts = 1_000_000
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    names = sorted(sizes)
+    if not names:
+        return Model([])
+    share = rows.sparkSession.createDataFrame([(k, parts * sample // n) for k, n in sizes.items()], "_l string, _share long")
+    few = rows.join(F.broadcast(share), F.col("lang") == F.col("_l")).filter(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(parts)) < F.col("_share"))
+    found = counted_words(few.select("lang", "text"))
+    every = table(found.select(F.lit(0).alias("kind"), "lang", "gram", "n").unionByName(cut_words(found)), "grams")
+    sums = every.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()  # some rows a language
+    kinds = {r["kind"]: r["n"] for r in every.select("kind", "gram").distinct().groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n = sum(kinds.values())
+    model = Model(names, shared_path(rows.sparkSession, "languages"), max(0, int(np.ceil(np.log2(max(1, n) / A_SHARD)))))
+    whole = np.zeros((LONGEST + 1, len(names)))
+    for r in sums:
+        whole[r["kind"], names.index(r["lang"])] = r["n"]
+    write(every, model, np.log(whole + ADD * np.array([[kinds.get(k, 0)] for k in range(LONGEST + 1)]) + 1e-300))
+    return model
+
+
+def write(every: DataFrame, model: Model, sums: np.ndarray) -> None:
+    """The arrays of the model, a file a shard, from (kind, lang, gram, n) and the logs of all kinds' smoothed sums."""
+    at, folder = {name: i for i, name in enumerate(model.languages)}, model.folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            shards, kinds, keys, counts = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1, 3, 4))
+            langs = np.array([at[x] for b in held for x in b.column(2).to_pylist()], np.int64)
+            shard = int(shards[0])
+            file, arrays = Writer(folder, f"logs-{shard}"), {}
+            for kind, mine in (("word", kinds == 0), ("gram", kinds > 0)):
+                h = keys[mine].view(np.uint64)
+                order, first = firsts(h)
+                x = np.zeros((len(first), len(at)))
+                row = np.empty(len(h), np.int64)
+                row[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+                x[row, langs[mine]] = counts[mine]
+                logs = np.log(x + ADD) - sums[kinds[mine][order[first]]]
+                arrays |= {kind: h[order[first]], f"{kind}_logs": logs.astype(np.float32).ravel().view(np.uint32)}
+            file.add(shard, **arrays)
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], ["shard"])
+
+    h = F.xxhash64("gram")
+    shard = F.shiftrightunsigned(h, 64 - model.bits).cast("int") if model.bits else F.lit(0)
+    dealt = every.select(shard.cast("long").alias("shard"), "kind", "lang", h.alias("h"), "n").repartitionById(1 << model.bits, F.col("shard").cast("int"))
+    dealt.mapInArrow(run, "shard long").collect()  # a row a shard
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def f(batch: pa.RecordBatch) -> dict:
-        found = held.value.predict(strings(batch.column(1)))
+        found = model.predict(strings(batch.column(1)))
         return {key: batch.column(0), "lang_pred": [x for x, _ in found], "score": [p for _, p in found]}
 
     return map_batches(docs.select(key, text), f, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")

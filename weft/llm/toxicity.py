@@ -31,8 +31,10 @@ from .common import fold, map_batches, small_batches, strings, table
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SAMPLE_TOXIC, SAMPLE_OTHER = 6_000, 12_000
-#: Mined voters at most; texts, log likelihood ratio (doubled) and ratio of the classes' shares that each has at least.
-MINED, LEAST_TEXTS, LEAST_RATIO, LEAST_LIFT = 500, 4, 30.0, 5.0
+#: Texts, log likelihood ratio (doubled) and ratio of the classes' shares that a mined voter has at least.
+LEAST_TEXTS, LEAST_RATIO, LEAST_LIFT = 4, 30.0, 5.0
+#: Voters that are compared with all others at a time.
+STRIP = 256
 BEGINNINGS = (4, 5, 6)
 #: Chance that a label of the sample is right, at first; correlation from which voters share weight.
 LABEL_RIGHT, CORRELATED = 0.95, 0.3
@@ -129,11 +131,12 @@ def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int
         fire = (both @ votes + 0.1) / (both.sum(1, keepdims=True) + 0.2)  # by class: chance to fire
         right = np.array([(q @ labels + 5) / (q.sum() + 5.5), ((1 - q) @ (1 - labels) + 5) / ((1 - q).sum() + 5.5)])
         if r == 5 or r == 15:  # correlation of what the label doesn't explain
-            rest = votes - both.T @ fire
+            rest = votes - (both.T @ fire).astype(np.float32)
             rest[:, ~votes.any(0)] = 0  # a voter that never fires goes with none
             rest /= np.sqrt((rest**2).mean(0)) + 1e-9
-            c = np.abs(rest.T @ rest) / len(votes)
-            share = 1 / np.where(c >= CORRELATED, c, 0).sum(0).clip(1)
+            for i in range(0, len(share), STRIP):
+                c = np.abs(rest.T @ rest[:, i : i + STRIP]) / len(votes)
+                share[i : i + STRIP] = 1 / np.where(c >= CORRELATED, c, 0).sum(0).clip(1)
         on, off = np.log(fire[1] / fire[0]) * share, np.log((1 - fire[1]) / (1 - fire[0])) * share
         odds = np.log(prior / (1 - prior)) + votes @ (on - off) + off.sum()
         odds += np.where(labels == 1, np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1]))
@@ -164,7 +167,7 @@ def sample_labels(labels: DataFrame, key: str, label: str) -> tuple[DataFrame, f
 
 
 def mine(rows: DataFrame, toxic: int, other: int) -> list[str]:
-    """Marks of words that go with toxic rows of (text, _y), at most MINED of them."""
+    """Marks of words that go with toxic rows of (text, _y): all that the thresholds let through, of a bounded sample's words."""
     small_batches(rows.sparkSession)
 
     def counts(batches):
@@ -190,7 +193,7 @@ def mine(rows: DataFrame, toxic: int, other: int) -> list[str]:
     ratio = 2 * (a * F.log(a / (a + b) / share) + F.when(b > 0, b * F.log(b / (a + b) / (1 - share))).otherwise(0))
     lift = (a / toxic) / ((b + 0.5) / other)
     best = sums.filter(a >= LEAST_TEXTS).withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & (lift >= LEAST_LIFT))
-    return [r["mark"] for r in best.orderBy(F.desc("ratio"), "mark").limit(MINED).collect()]
+    return [r["mark"] for r in best.orderBy(F.desc("ratio"), "mark").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
