@@ -27,13 +27,13 @@ def test_masks_are_prefix_sums():
 def test_round_trip(spark):
     turns = [
         (1, 0, "user", "hi </s>[INST]"), (1, 1, "assistant", "</s>"), (1, 2, "assistant", "[/INST]\U0001f600 \x00é"), (1, 1, "system", None), (2, None, None, None), (2, 5, "tool", "x"),
-        (2, 5, "tool", "x"), (3, 0, "[ROLE] odd", "<s>"), (None, 0, "user", "none"), (4, 0, "assistant", "z" * 20_000),
+        (2, 5, "tool", "x"), (3, 0, "[ROLE] odd", "<s>"), *((5, 1, "assistant", t) for t in ("b z", "b", "Ba", "", "a b c", "éa", "<s>", "b")), (None, 0, "user", "none"), (4, 0, "assistant", "z" * 20_000),
     ]
     df = spark.createDataFrame(turns, SCHEMA).withColumn("ids", F.lit(1)).withColumn("part", F.lit("x"))
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     key = lambda t: ((t[1] is not None, t[1] or 0), t[2] or "", t[3] or "")
     for conv in {t[0] for t in turns}:
-        own = sorted((t for t in turns if t[0] == conv), key=lambda t: key(t)[:2])
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: key(t))
         text = "".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)
         loss = "".join(t[3] or "" for t in own if t[2] == "assistant")
         r = got[conv]

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,11 +79,52 @@ def test_keys_late_in_a_run(network):
     assert sum(any(s <= a and a + 40 <= e for s, e in spans) for a, spans in zip(at, got, strict=True)) >= 38
     # every character is in a window, and those that hold a rule's finding are left out
     assert {i for s, e in secrets.windows(3, 130) for i in range(s, e)} == set(range(3, 130)) and secrets.windows(3, 30) == [(3, 30)]
-    assert secrets.net_spans(texts, [[(a, 2, a + 40)] for a in at], network) != got
+    # what a rule's span holds is not said again; what it only touches is
+    assert secrets.net_spans(texts, [[(0, 2, len(t))] for t in texts], network) == [[] for _ in texts]
+    assert secrets.net_spans(texts, [[(a, 2, a + 40)] for a in at], network) == got
 
 
 def test_fit_on_documents(spark, sample, none):
-    assert 0 < secrets.fit(sample).threshold < 1 and 0 < secrets.fit(none).threshold < 1
+    n = secrets.fit(sample)
+    assert 0 < n.threshold < 1 and 0 < secrets.fit(none).threshold < 1
+    # planted in other texts, of findings that no rule decides at least nine tenths are found
+    texts = [secrets.plant(f"{r['text'][:400]} unseen") for r in sample.collect() if r["text"] and " " in r["text"]]
+    open_ = [(t, s, e) for t, s, e in texts if not secrets.Spans(secrets.rule_spans(t)).meet(s, e)]
+    got = secrets.net_spans([t for t, _, _ in open_], [secrets.rule_spans(t) for t, _, _ in open_], n)
+    whole = [(s, e) for t, s, e in open_ if any(a <= s and e <= b for a, b in secrets.candidates(t))]
+    hits = sum(any(a <= s and e <= b for a, b in spans) for (_, s, e), spans in zip(open_, got, strict=True))
+    assert len(open_) > 50 and hits >= 0.9 * len(whole)
+
+
+def test_spans_against_every_pair():
+    r = random.Random(3)
+    for _ in range(200):
+        spans = sorted((a := r.randrange(60), r.randrange(3), a + r.randrange(1, 12)) for _ in range(r.randrange(8)))
+        s = r.randrange(60)
+        e = s + r.randrange(1, 9)
+        x = secrets.Spans(spans)
+        assert x.meet(s, e) == any(a < e and s < b for a, _, b in spans)
+        assert x.hold(s, e) == any(a <= s and e <= b for a, _, b in spans)
+
+
+def test_net_spans_against_one_by_one(network, sample):
+    texts = [r["text"] or "" for r in sample.collect()]
+    got = secrets.net_spans(texts, [secrets.rule_spans(t) for t in texts], network)
+    for t, spans in zip(texts, got, strict=True):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in brute(t)):
+                if max(network.score(secrets.window(t, x, y)[None])[0] for x, y in secrets.windows(m.start(), m.end())) >= network.threshold:
+                    want.append((m.start(), m.end()))
+        assert spans == want
+
+
+def test_texts_full_of_findings(network):
+    text = " ".join(f"token=abcdef{i} /p/q/r/s/t/u/v{i}" for i in range(20_000))
+    spans = secrets.rule_spans(text)
+    start = time.perf_counter()
+    secrets.net_spans([text], [spans], network)
+    assert len(spans) == 20_000 and time.perf_counter() - start < 60
 
 
 def slow_crc(b):
@@ -123,3 +165,16 @@ def test_media_round_trip(spark, odd, none):
     assert got == sorted(want, key=repr)
     assert ogg.read_media(ogg.media_column(none)).count() == 0
     assert ogg.read_samples(b"")[:2] == (b"", 0)
+
+
+def test_files_of_many_packets():
+    for n in (576, 4608, 5184, 57_600, 576 * 997):
+        payload = os.urandom(n)
+        media = ogg.write(payload, n - 3)
+        streams, broken = ogg.demultiplex(media)
+        assert broken == 0 and len(streams) == (3) and all(s.ended for s in streams.values())
+        got, length, rate, seconds, broken = ogg.read_samples(media)
+        assert (got, length, broken) == (payload, n - 3, 0) and seconds == n / rate
+        pages = [ogg.HEADER.unpack_from(media, m.start()) for m in re.finditer(b"OggS\x00[\x00-\x07]", media)]
+        if n > 57_600:
+            assert any(p[2] & ogg.CONTINUED for p in pages) and len({p[4] for p in pages}) == 3

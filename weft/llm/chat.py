@@ -101,8 +101,8 @@ def format_conversations(df: DataFrame, tokenizer: str = TOKENIZER, part_tokens:
     small_batches(df.sparkSession)
     kind = df.schema["conv_id"].dataType.simpleString()
     turn = df.schema["turn"].dataType.simpleString()
-    encoded = df.select("conv_id", "turn", "role", "text").mapInArrow(_encoder(file), f"conv_id {kind}, turn {turn}, role string, name binary, ids binary")
-    together = encoded.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "ids")
+    encoded = df.select("conv_id", "turn", "role", "text").mapInArrow(_encoder(file), f"conv_id {kind}, turn {turn}, role string, name binary, ids binary, text string")
+    together = encoded.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").drop("text")
     return together.mapInArrow(_assembler(file, part_tokens), f"conv_id {kind}, part long, input_ids array<int>, loss_mask array<tinyint>")
 
 
@@ -110,12 +110,12 @@ def _encoder(file: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file.value)
         for b in batches:
-            roles = strings(b.column(2))
+            roles, texts = strings(b.column(2)), strings(b.column(3))
             odd = codec.encode([escape(r) if r not in ("user", "assistant", "system") else "" for r in roles])
-            ids = codec.encode([escape(t) for t in strings(b.column(3))])
+            ids = codec.encode([escape(t) for t in texts])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array([x.tobytes() for x in odd], pa.binary()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                ["conv_id", "turn", "role", "name", "ids"],
+                [b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array([x.tobytes() for x in odd], pa.binary()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(texts, pa.string())],
+                ["conv_id", "turn", "role", "name", "ids", "text"],
             )
 
     return run

@@ -1,5 +1,9 @@
 """Media columns in Ogg: pages with checksums, packets in lacing values, logical streams side by side, times from granules.
 
+The samples are cut into packets, of PACKET samples but for the last, that two logical streams take in turn, and a third
+says how long the text is; packets run on over pages, which are put in the order of their times. The reader parts the
+streams, puts packets together, derives each one's time from granules, and puts the samples in the order of time.
+
 Null texts count as empty. Rows are independent: repeated rows give repeated results, an empty table an empty result,
 and columns of other names are left out. The reader takes any bytes: pages that fail their checksum are left out and counted.
 """
@@ -28,8 +32,9 @@ MOST_SEGMENTS, SEGMENT = 255, 255
 NO_GRANULE = -1
 
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
-_PACKETS_A_PAGE = MOST_SEGMENTS // (BLOCK // SEGMENT + 1)
-_PCM = struct.Struct("<8sIIBB")
+#: Samples of a packet but the last: 19 segments, so that pages of 255 end within packets.
+PACKET = 8 * BLOCK
+_PCM = struct.Struct("<8sIIBBBB")
 _SIZE = struct.Struct("<8sQ")
 
 
@@ -49,8 +54,15 @@ def page(serial: int, number: int, flags: int, granule: int, laced: bytes, body:
     return head[:22] + crc.to_bytes(4, "little") + head[26:] + body
 
 
-def pages_of(serial: int, packets: list[bytes], granules: list[int]) -> list[bytes]:
-    """A logical stream's pages. A packet may run over several pages; a granule counts where its packet ends."""
+def pages_of(serial: int, packets: list[bytes], granules: list[int], apart: int = 0) -> list[bytes]:
+    """A logical stream's pages. A packet may run over several pages; a granule counts where its packet ends.
+
+    apart: packets at the beginning, headers, that have pages of their own.
+    """
+    if 0 < apart < len(packets):
+        more = pages_of(serial, packets[apart:], granules[apart:])
+        heads = pages_of(serial, packets[:apart], granules[:apart])
+        return [*(renumbered(p, i, LAST, 0) for i, p in enumerate(heads)), *(renumbered(p, len(heads) + i, FIRST, 0) for i, p in enumerate(more))]
     segments: list[tuple[int, bytes, int]] = []
     for packet, granule in zip(packets, granules, strict=True):
         sizes, at = lacing(len(packet)), 0
@@ -67,20 +79,31 @@ def pages_of(serial: int, packets: list[bytes], granules: list[int]) -> list[byt
     return out
 
 
+def renumbered(p: bytes, number: int, without: int, add: int) -> bytes:
+    """A page with another number, without and with some flags, and its checksum anew."""
+    flags = (p[5] & ~without) | add
+    p = p[:5] + bytes([flags]) + p[6:18] + number.to_bytes(4, "little") + b"\0\0\0\0" + p[26:]
+    return p[:22] + checksum(p).to_bytes(4, "little") + p[26:]
+
+
 def write(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
-    """Two logical streams, their pages interleaved: 8-bit samples in packets of 576, and the length without padding."""
+    """Two streams of 8-bit samples, packets in turn, and one with the length without padding; pages by the time they end."""
     serial = zlib.crc32(payload)
-    out = [page(serial, 0, FIRST, 0, bytes([_PCM.size]), _PCM.pack(b"\x80pcm8   ", rate, BLOCK, 8, 1))]
-    other = page(serial ^ 1, 0, FIRST | LAST, 0, bytes([_SIZE.size]), _SIZE.pack(b"\x80size   ", n_bytes))
-    out.append(other)
-    step, number = _PACKETS_A_PAGE * BLOCK, 1
-    whole = lacing(BLOCK)
-    for start in range(0, len(payload), step):
-        body = payload[start : start + step]
-        end = start + len(body)
-        out.append(page(serial, number, LAST * (end == len(payload)), end, whole * (len(body) // BLOCK), body))
-        number += 1
-    return b"".join(out)
+    packets = [payload[i : i + PACKET] for i in range(0, len(payload), PACKET)]
+    out = []
+    for k in range(2):
+        own = packets[k::2]
+        ends = [min(len(payload), (2 * i + k + 1) * PACKET) for i in range(len(own))]
+        head = _PCM.pack(b"\x80pcm8   ", rate, PACKET, 8, 1, k, 2)
+        found = pages_of(serial ^ k, [head, *own], [0, *ends], apart=1)
+        time = 0
+        for p in found:
+            time = max(time, HEADER.unpack_from(p)[3])  # a page in which no packet ends has the time of the one before
+            out.append((time, len(out), p))
+    first = [x for x in out if HEADER.unpack_from(x[2])[2] & FIRST]
+    size = page(serial ^ 2, 0, FIRST | LAST, 0, bytes([_SIZE.size]), _SIZE.pack(b"\x80size   ", n_bytes))
+    rest = sorted(x for x in out if not HEADER.unpack_from(x[2])[2] & FIRST)
+    return b"".join([*(p for _, _, p in first), size, *(p for _, _, p in rest)])
 
 
 @dataclass
@@ -147,17 +170,24 @@ def demultiplex(media: bytes) -> tuple[dict[int, Stream], int]:
 
 
 def read_samples(media: bytes) -> tuple[bytes, int, int, float, int]:
-    """Payload, length without padding, rate, duration in seconds and broken pages of what write() made."""
+    """Payload, length without padding, rate, duration in seconds, and places broken, of what write() made.
+
+    A packet's time is the granule of the page that it ends, or follows from the packets next to it, as all but the last
+    are of one size and streams take turns; times that do not agree with what is there count as broken.
+    """
     streams, broken = demultiplex(media)
-    payload, n_bytes, rate, seconds = b"", 0, RATE, 0.0
+    placed, n_bytes, rate, seconds = [], 0, RATE, 0.0
     for s in streams.values():
         if s.packets and s.packets[0][:8] == b"\x80pcm8   ":
-            rate = _PCM.unpack(s.packets[0])[1]
-            payload = b"".join(s.packets[1:])
-            seconds = max(s.times(rate), default=0.0)
+            _, rate, size, _, _, k, of = _PCM.unpack(s.packets[0])
+            for i, (packet, granule) in enumerate(zip(s.packets[1:], s.granules[1:], strict=True)):
+                start = (of * i + k) * size
+                broken += granule >= 0 and granule != start + len(packet)
+                placed.append((start, packet))
+            seconds = max([seconds, *s.times(rate)])
         elif s.packets and s.packets[0][:8] == b"\x80size   ":
             n_bytes = _SIZE.unpack(s.packets[0])[1]
-    return payload, n_bytes, rate, seconds, broken
+    return b"".join(p for _, p in sorted(placed)), n_bytes, rate, seconds, broken
 
 
 def features(payload: bytes, rate: int, seconds: float) -> str:

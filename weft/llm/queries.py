@@ -138,12 +138,13 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, len(text) + len(regexp_extract_all(text, '(?:<\\*/?s>)|(?:\[\\*/?(?:INST|SYS|ROLE)\])')) AS chars FROM c)
+  SELECT *, len(text) + len(regexp_extract_all(text, '(?:<\\*/?s>)|(?:\[\\*/?(?:INST|SYS|ROLE)\])')) AS chars,
+         len(role) + len(regexp_extract_all(role, '(?:<\\*/?s>)|(?:\[\\*/?(?:INST|SYS|ROLE)\])')) AS role_chars FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       (3 + sum(chars + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 11 END))::BIGINT AS formatted_chars
+       (3 + sum(chars + CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 11 ELSE 17 + role_chars END))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
 

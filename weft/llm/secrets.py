@@ -1,10 +1,14 @@
 """Secret scans: fixed rules, and a character convolution network over every candidate with its surroundings.
 
 Rules give spans of the kinds assign, access and hex. Candidates are all runs of 16 or more letters, digits and `+/_=-`
-with a letter and a digit in them; the network, in numpy, sees each, a long one in windows that overlap, with the characters around and adds spans of kind
-`net` where its calibrated score reaches a threshold. That is the highest at which it still finds RECALL of the findings
-that were held out from training. It is trained on labelled findings: what the rules found in a bounded sample of the
-documents, other candidates there, and seeded made-up examples of both (so an empty table works as well).
+with a letter and a digit in them; the network, in numpy, sees every one, also those that rules have found, a long one in
+windows that overlap, with the characters around, and adds spans of kind `net` where its calibrated score reaches a
+threshold, unless a rule's span holds the whole candidate. The threshold is the highest at which it still finds RECALL of
+the findings that were held out from training and that no rule decides.
+
+It is trained on labelled findings: keys of many formats that are planted, seeded by the text, between the words of a
+bounded sample of the documents, mostly without what a rule looks for; what the rules found there; other candidates there;
+and seeded made-up examples of both (so an empty table works as well).
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are independent: repeated rows give
 repeated results. Columns of other names are kept by redact() and left out by scan().
@@ -16,11 +20,13 @@ import hashlib
 import random
 import re
 import string
+import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches, strings
@@ -34,8 +40,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Documents, found and other candidates at most that the network is trained on.
-SAMPLE_DOCS, SAMPLE_FINDINGS, SAMPLE_OTHERS = 20_000, 1_500, 1_500
+#: Documents, found and other candidates, and planted ones, at most that the network is trained on.
+SAMPLE_DOCS, SAMPLE_FINDINGS, SAMPLE_OTHERS, SAMPLE_PLANTED = 20_000, 1_500, 1_500, 1_000
+# Kinds of what the network is trained on.
+OTHER, FOUND, PLANTED = range(3)
 MADE_UP = 800
 RECALL = 0.98
 BEFORE, INSIDE, AFTER = 16, 40, 8
@@ -117,8 +125,8 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.offset)))
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 12, dims: int = 8, filters: int = 24) -> Network:
-    """Adam on the cross entropy; a fifth is held out for calibration and the threshold."""
+def train(x: np.ndarray, y: np.ndarray, open_: np.ndarray | None = None, seed: int = 7, rounds: int = 12, dims: int = 8, filters: int = 24) -> Network:
+    """Adam on the cross entropy; a fifth is held out for calibration and, those that are open_ to it, for the threshold."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
@@ -153,19 +161,28 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 12, dims: i
         p = 1 / (1 + np.exp(-(n.scale * z + n.offset)))
         n.scale -= 0.1 * float(np.mean((p - want) * z) / max(1.0, float(np.mean(z * z))))
         n.offset -= 0.5 * float(np.mean(p - want))
-    found = np.sort(n.score(x[held][want == 1]))
+    found = np.sort(n.score(x[held][(want == 1) & (True if open_ is None else open_[held])]))
     n.threshold = float(found[int((1 - RECALL) * len(found))]) if len(found) else 0.5
     return n
 
 
+# Alphabets and beginnings of keys.
+ALPHABETS = ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
+BEGINNINGS = ("", "AKIA", "sk-", "ghp_")
+
+
+def made_key(rng: random.Random) -> str:
+    letters = rng.choice(ALPHABETS)
+    return rng.choice(BEGINNINGS) + "".join(rng.choice(letters) for _ in range(rng.randint(20, 48)))
+
+
 def made_up(rng: random.Random) -> tuple[list[tuple[str, int, int]], list[int]]:
     """Seeded findings and others: keys in and out of assignments; words, numbers, addresses and names."""
     rows, labels = [], []
     word = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
     around = lambda: " ".join(word(rng.randint(2, 8)) for _ in range(3))
-    for i in range(MADE_UP):
-        letters = rng.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits])
-        key = rng.choice(["", "AKIA", "sk-", "ghp_"]) + "".join(rng.choice(letters) for _ in range(rng.randint(20, 48)))
+    for _ in range(MADE_UP):
+        key = made_key(rng)
         before = around() + rng.choice([" ", " token = \"", " password: ", " api_key=", " secret = '", " key: "])
         other = rng.choice([word(rng.randint(6, 12)) + "-" + word(8) + str(rng.randint(0, 99)), "page" + str(rng.randint(10**12, 10**16)), (word(4) + "/") * 3 + str(rng.randint(0, 2099)), "=" * rng.randint(16, 30) + "x1", word(1) * rng.randint(16, 30) + str(rng.randint(0, 9)), word(9) + "_" + word(9) + "_v" + str(rng.randint(1, 9))])
         for label, value, lead in ((1, key, before), (0, other, around() + " ")):
@@ -174,6 +191,34 @@ def made_up(rng: random.Random) -> tuple[list[tuple[str, int, int]], list[int]]:
     return rows, labels
 
 
+def plant(text: str) -> tuple[str, int, int]:
+    """A text with a key between two of its words, seeded by the text, and where it is."""
+    rng = random.Random(zlib.crc32(text.encode()))
+    at = text.find(" ", rng.randint(0, len(text))) + 1
+    lead, key = rng.choice(["", "", "(", '"', "key ", "id: ", "Bearer ", "url/"]), made_key(rng)
+    return f"{text[:at]}{lead}{key} {text[at:]}", at + len(lead), at + len(lead) + len(key)
+
+
+class Spans:
+    """Ordered spans, some of which may overlap, that are looked up by one pass over their ends."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends, most = [s for s, _, _ in spans], [], 0
+        for _, _, e in spans:
+            most = max(most, e)
+            self.ends.append(most)
+
+    def hold(self, s: int, e: int) -> bool:
+        """Whether some span begins at s or before and ends at e or after."""
+        i = bisect_right(self.starts, s)
+        return i > 0 and self.ends[i - 1] >= e
+
+    def meet(self, s: int, e: int) -> bool:
+        """Whether some span overlaps s to e."""
+        i = bisect_left(self.starts, e)
+        return i > 0 and self.ends[i - 1] > s
+
+
 def fit(docs: DataFrame, text: str = "text") -> Network:
     """The network, from a sample of at most SAMPLE_DOCS documents (by the hash of their text)."""
     n = docs.count()
@@ -181,21 +226,30 @@ def fit(docs: DataFrame, text: str = "text") -> Network:
     few = docs.select(text).filter(F.pmod(F.xxhash64(text, F.lit(17)), F.lit(parts)) < min(parts, parts * SAMPLE_DOCS // max(1, n)))
 
     def f(batch: pa.RecordBatch) -> dict:
-        seen, labels = [], []
+        seen, kinds, ruled = [], [], []
         for t in strings(batch.column(0)):
-            found = rule_spans(t)
-            values = [(s, e) for s, _, e in found]
+            found = Spans(rule_spans(t))
             for s, e in (w for c in candidates(t) for w in windows(*c)):
-                hit = any(a < e and s < b for a, b in values)
                 seen.append(window(t, s, e).tobytes())
-                labels.append(int(hit))
-        return {"x": seen, "y": labels}
-
-    rows = map_batches(few, f, "x binary, y int").distinct()
-    sample = [r for label, most in ((1, SAMPLE_FINDINGS), (0, SAMPLE_OTHERS)) for r in rows.filter(F.col("y") == label).orderBy(F.xxhash64("x"), "x").limit(most).collect()]
+                kinds.append(FOUND if found.meet(s, e) else OTHER)
+                ruled.append(kinds[-1])
+            if " " in t:
+                changed, s, e = plant(t)
+                near = changed[max(0, s - 200) : e + 200]  # as far as a window and the rules around it reach
+                s, e = s - max(0, s - 200), e - max(0, s - 200)
+                seen.append(window(near, s, min(e, s + INSIDE)).tobytes())
+                kinds.append(PLANTED)
+                ruled.append(int(Spans(rule_spans(near)).meet(s, e)))
+        return {"x": seen, "kind": kinds, "ruled": ruled}
+
+    rows = map_batches(few, f, "x binary, kind int, ruled int").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("x"), "x", "ruled"))
+    most = F.when(F.col("kind") == FOUND, SAMPLE_FINDINGS).when(F.col("kind") == OTHER, SAMPLE_OTHERS).otherwise(SAMPLE_PLANTED)
+    sample = rows.withColumn("nth", nth).filter(F.col("nth") <= most).collect()
     texts, labels = made_up(random.Random(11))
     x = np.array([window(*r) for r in texts] + [np.frombuffer(r["x"], np.uint8) for r in sample])
-    return train(x, np.array(labels + [r["y"] for r in sample], float))
+    open_ = [not any(rule_spans(t)) for t, _, _ in texts] + [not r["ruled"] for r in sample]
+    return train(x, np.array(labels + [int(r["kind"] > 0) for r in sample], float), np.array(open_))
 
 
 def windows(start: int, end: int) -> list[tuple[int, int]]:
@@ -205,19 +259,18 @@ def windows(start: int, end: int) -> list[tuple[int, int]]:
 
 
 def net_spans(texts: list[str], found: list[list[tuple[int, int, int]]], network: Network) -> list[list[tuple[int, int]]]:
-    """For each text, the candidates that the network takes for secrets, by the best of their windows in which no rule has found any."""
+    """For each text, the candidates that the network takes for secrets, by the best of their windows, and that no rule's span holds."""
     where, rows, first = [], [], []
     for i, t in enumerate(texts):
         for s, e in candidates(t):
-            judged = [window(t, x, y) for x, y in windows(s, e) if not any(a < y and x < b for a, _, b in found[i])]
-            if judged:
-                where.append((i, s, e))
-                first.append(len(rows))
-                rows += judged
+            where.append((i, s, e))
+            first.append(len(rows))
+            rows += [window(t, x, y) for x, y in windows(s, e)]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if rows:
+        held = {i: Spans(found[i]) for i in {i for i, _, _ in where}}
         for (i, s, e), p in zip(where, np.maximum.reduceat(network.score(np.array(rows)), first), strict=True):
-            if p >= network.threshold:
+            if p >= network.threshold and not held[i].hold(s, e):
                 out[i].append((s, e))
     return out
 
