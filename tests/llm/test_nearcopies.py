@@ -82,3 +82,18 @@ def test_groups_are_exact():
                 a, b = root[i], root[j]
                 root = [min(a, b) if v in (a, b) else v for v in root]
     assert got == root
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        t[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    want = kept(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x for (x,) in rows_of(N.deduplicate(df), "doc_id")} == want
+    monkeypatch.setattr(N, "GROUP", 16)
+    assert {x for (x,) in rows_of(N.deduplicate(df), "doc_id")} == want

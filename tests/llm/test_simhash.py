@@ -97,3 +97,24 @@ def test_chain_and_empty(spark, none):
     chain = spark.createDataFrame([(i + 1, i) for i in range(60)], "fp long, other long")
     assert {r["root"] for r in S.components(chain).collect()} == {0}
     assert S.near_duplicates(none).count() == 0 and S.deduplicate(none).count() == 0
+
+
+def test_deeper_trees_lose_no_link(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    near = base[:600] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)) for _ in range(600)], np.uint64)
+    fps = np.unique(np.concatenate([base, near])).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    edges = S.links(df, sample=64, shard=100)
+    assert edges.count() >= 600
+    one = lambda e: {r["fp"]: r["root"] for r in S.components(e).collect()}
+    assert one(edges) == one(S.links(df, sample=65_536, shard=10**6))
+
+
+def test_extra_columns_without_an_order(spark):
+    rows = [(1, "a b c d", {"x": "1"}), (1, "a b c d", {"x": "0"}), (2, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,string>")
+    got = S.deduplicate(df).collect()
+    assert sorted((r["doc_id"], str(r["extra"])) for r in got) == [(1, "{'x': '0'}"), (2, "None")]

@@ -147,3 +147,25 @@ def test_given_weights(spark):
     df = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b", "y"), (3, "a b", "z")], "doc_id long, text string, source string")
     w = spark.createDataFrame([("x", 1), ("y", 1), ("z", 0)], "source string, weight long")
     assert rows_of(mixing.mix(df, weights=w), "doc_id", "target", "taken") == [(1, 4.0, 4), (2, 4.0, 4), (3, 0.0, 0)]
+
+
+def test_rows_of_one_id(spark):
+    rows = [(None, "a b c", "x")] * 300 + [(None, f"w{i} w", "x") for i in range(100)] + [(1, "z " * 50, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    w = spark.createDataFrame([("x", 7), ("y", 1)], "source string, weight long")
+    for part in (df, df.repartition(5)):
+        got = mixing.mix(part, weights=w, epochs=2).collect()
+        total = sum(r["taken"] for r in got if r["source"] == "x")
+        assert total == round(next(r["target"] for r in got if r["source"] == "x")) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    a, b = (sorted((r["text"], r["taken"]) for r in mixing.mix(part, weights=w, epochs=2).collect()) for part in (df, df.repartition(5)))
+    assert a == b
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(9)
+    rows = [(f"s{i:04d}", r.choice([0, 1, 5, 40, 4000]) * r.randrange(1, 9), i % 3 + 1) for i in range(500)]
+    sized = spark.createDataFrame(rows, "source string, source_size long, weight long")
+    got = {x["source"]: x["target"] for x in mixing.targets(sized).collect()}
+    assert all(abs(got[s] - t) < 1e-6 for (s, _, _), t in zip(rows, filled([n for _, n, _ in rows], [w for _, _, w in rows]), strict=True))
+    numbered = mixing.cycled_weights(sized.drop("weight").repartition(7)).collect()
+    assert {x["source"]: x["weight"] for x in numbered} == {s: w for s, _, w in rows}

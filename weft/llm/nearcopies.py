@@ -1,10 +1,14 @@
 """Near copies by word shingles: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Words are those of simhash. A text of fewer words is one shingle, one without words the empty set; equal sets are copies.
-Equal sets count once. MinHash only proposes: 32 bands of 4 values, so a pair at 0.8 shares no band with a probability of
+Words are those of simhash. A text of fewer words is one shingle, one without words the empty set; equal sets are copies
+and count once. Pairs are proposed, then compared exactly. SimHash proposes: the fingerprints of the sets meet in the
+vantage-point trees of simhash, which give every pair within 3 bits. But at a similarity of 0.8 two fingerprints differ in
+9.7 of 64 bits on average, a distance at which trees part nothing any more, so SimHash alone can't give right results
+here, and MinHash proposes too: 32 bands of 4 values, so a pair at 0.8 shares no band with a probability of
 (1 - 0.8^4)^32 = 5e-8, and less above. Members of a bucket are linked to its least one and the stars joined to candidate
-groups, which hold every proposed pair. Each group's texts then meet in one task, which compares the sets exactly: each
-document with those that are not yet linked, over the postings of its shingles. What is linked through others is one group.
+groups, which hold every proposed pair. A group's texts meet in one task, which compares the sets exactly: each document
+with those that are not yet linked, over the postings of its shingles. A group of more than GROUP sets is dealt to blocks,
+and each two blocks meet in a task. What is linked through others is one group.
 
 Null texts count as empty, null ids as in simhash; repeated rows are copies. Extra columns are kept.
 """
@@ -20,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, broadcast_if_small, map_batches, table, utf8
-from .simhash import MOST_BROADCAST, SEED, components, keep_least
+from .simhash import MOST_BROADCAST, SEED, components, keep_least, links, majority, signed
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 4
+#: Sets of a candidate group that one task compares.
+GROUP = 4_000
 _ODD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -92,19 +98,32 @@ def linked(sets: list[np.ndarray], least: float = LEAST) -> list[int]:
     return root
 
 
-def clusters(docs: DataFrame, prints: DataFrame, text: str) -> DataFrame:
-    """(fp, root) of every set in prints (id, mark, fp, bands); docs has their texts under the same id and mark."""
-    distinct = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"), F.first("bands").alias("bands"))
-    distinct = table(distinct.select("fp", "first.id", "first.mark", "bands"), "distinct")
+def proposed(distinct: DataFrame) -> DataFrame:
+    """(fp, other), fp > other: stars that join all sets that share a band, or whose fingerprints are 3 bits apart or less."""
     buckets = distinct.select("fp", F.explode("bands").alias("band"))
     least = buckets.groupBy("band").agg(F.min("fp").alias("other"), F.count("*").alias("n")).filter("n > 1").select("band", "other")
-    edges = buckets.join(least, "band").filter("fp > other").select("fp", "other").distinct()
-    stars = components(edges)
+    by_band = buckets.join(least, "band").select("fp", "other")
+    heads = table(distinct.groupBy("sim").agg(F.min("fp").alias("head")), "heads")
+    alike = distinct.select("fp", "sim").join(heads, "sim").select("fp", F.col("head").alias("other"))
+    near = links(heads.select(F.col("sim").alias("fp"))).select(F.col("fp").alias("sim"), F.col("other").alias("to"))
+    near = near.join(heads, "sim").join(heads.select(F.col("sim").alias("to"), F.col("head").alias("at")), "to").select(F.greatest("head", "at").alias("fp"), F.least("head", "at").alias("other"))
+    return by_band.unionByName(alike).unionByName(near).filter("fp > other").distinct()
+
+
+def clusters(docs: DataFrame, prints: DataFrame, text: str) -> DataFrame:
+    """(fp, root) of every set in prints (id, mark, fp, sim, bands); docs has their texts under the same id and mark."""
+    distinct = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
+    distinct = table(distinct.select("fp", "first.id", "first.mark", "sim", "bands"), "distinct")
+    stars = components(proposed(distinct))
     stars = table(stars.unionByName(stars.select(F.col("root").alias("fp"), "root").distinct()), "stars")
-    wanted = distinct.select("fp", F.col("id").alias("__near_id"), F.col("mark").alias("__near_mark")).join(stars, "fp")
+    large = table(stars.groupBy("root").agg(F.ceil(F.count("*") / (GROUP / 2)).cast("int").alias("k")).filter(F.col("k") > 2), "large")
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    met = stars.join(broadcast_if_small(large, MOST_BROADCAST), "root", "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    met = met.withColumn("to", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).select("root", "fp", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"))
+    wanted = distinct.select("fp", F.col("id").alias("__near_id"), F.col("mark").alias("__near_mark")).join(met.groupBy("fp").agg(F.first("root").alias("root"), F.collect_list(F.struct("i", "j")).alias("blocks")), "fp")
     given = docs.select(F.col("id").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     on = F.col("id").eqNullSafe(F.col("__near_id")) & (F.col("mark") == F.col("__near_mark"))
-    met = given.join(broadcast_if_small(table(wanted, "wanted"), MOST_BROADCAST), on).select("root", "fp", "text")
+    met = given.join(broadcast_if_small(table(wanted, "wanted"), MOST_BROADCAST), on).select("root", "fp", "text", F.inline("blocks"))
 
     def pairs(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy()
@@ -113,7 +132,10 @@ def clusters(docs: DataFrame, prints: DataFrame, text: str) -> DataFrame:
         root = linked([shingles((texts[int(i)].as_py() or "").encode()) for i in at])
         return pa.table({"fp": fps, "root": fps[root]})
 
-    joined = met.groupBy("root").applyInArrow(pairs, "fp long, root long")
+    joined = table(met.groupBy("root", "i", "j").applyInArrow(pairs, "fp long, root long"), "compared")
+    if not large.isEmpty():  # a set of a large group was in many tasks
+        found = components(joined.filter("fp <> root").select(F.greatest("fp", "root").alias("fp"), F.least("fp", "root").alias("other")).distinct())
+        joined = found.unionByName(joined.select("fp").distinct().join(found, "fp", "left_anti").select("fp", F.col("fp").alias("root")))
     return table(distinct.select("fp").join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near")
 
 
@@ -123,9 +145,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def f(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in utf8(batch.column(2))]
-        return {"id": batch.column(0), "mark": batch.column(1), "fp": [set_id(s) for s in sets], "bands": [bands(s) for s in sets]}
+        return {"id": batch.column(0), "mark": batch.column(1), "fp": [set_id(s) for s in sets], "sim": [signed(majority(s)) for s in sets], "bands": [bands(s) for s in sets]}
 
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), text)
-    prints = table(map_batches(rows, f, f"id {kind}, mark long, fp long, bands array<long>"), "prints")
+    prints = table(map_batches(rows, f, f"id {kind}, mark long, fp long, sim long, bands array<long>"), "prints")
     found = clusters(docs.select(F.col(key).alias("id"), text), prints, text)
     return keep_least(docs, prints.select("id", "mark", "fp"), found, key, text)

@@ -73,14 +73,14 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to weights 1, 2, 3, repeating, at most 3 epochs."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
-    return mixing.mix(table(docs, "mix-sizes"), size="size").select("doc_id", "size", "source_size", "target", "taken")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("mark"))
+    return mixing.mix(table(docs, "mix-docs"), size="size", mark="mark").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS ord
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight

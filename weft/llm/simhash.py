@@ -7,7 +7,8 @@ Equal fingerprints count once. Two that differ in 3 bits or fewer differ in at m
 forest of two vantage-point trees, one for the Hamming distance on each half, is searched with radius 1: at a vantage point
 p and a radius m, points with d(p, x) <= m go inside and those with d(p, x) >= m outside. By the triangle inequality no
 pair within 1 is parted, since what lies on the boundary goes to both sides. The upper levels, from a bounded sample,
-deal fingerprints to shards; each shard's task goes on with trees of its own until few points are left to compare.
+deal fingerprints to shards; shards that are still large get trees of their own, each from a sample of its own, until none
+is; each shard's task goes on until few points are left to compare.
 Only a spanning forest of a shard's links is returned, never all its pairs, so a group of many near copies costs no more
 rows than it has fingerprints; and a point is compared only with those that are not yet linked.
 
@@ -17,20 +18,22 @@ Repeated rows are copies. An empty table gives an empty result. Extra columns ar
 
 from __future__ import annotations
 
+import pickle
 from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, broadcast_if_small, map_batches, table, utf8
 
 SHINGLE, SEED, BITS = 3, 42, 3
 HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
-#: Fingerprints that the upper levels are drawn from at most, fingerprints wanted in a shard, points compared at the end.
-SAMPLE, SHARD, FEW = 65_536, 20_000, 512
+#: Fingerprints that the upper levels are drawn from at most, and those of a shard; fingerprints wanted in a shard, points
+#: compared at the end; vantage points tried where the first ones part nothing.
+SAMPLE, SHARD_SAMPLE, SHARD, FEW, MANY_TRIES = 65_536, 4_096, 20_000, 512, 64
 #: Rows up to which a side of a join is broadcast.
 MOST_BROADCAST = 200_000
 
@@ -46,8 +49,12 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     else:
         starts = [0, *(e + 1 for e in ends)]
         hashes = list(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)], repeat(SEED)))
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those that more than half of the numbers have."""
     counts = np.zeros(64, np.int64)
-    h = np.array(hashes, np.uint64)
     for i in range(0, len(h), 65_536):
         counts += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
@@ -130,6 +137,8 @@ def search(x: np.ndarray, mask: int, few: int = FEW) -> list[np.ndarray]:
         if at is None and len(x) > few and radius == 1:  # halves that are all alike: the whole distance can part them
             mask, radius = (1 << 64) - 1, BITS
             at = split(x, mask, radius)
+        if at is None and len(x) > few:
+            at = split(x, mask, radius, MANY_TRIES)
         if at is None:
             out += linked(x)
             continue
@@ -142,7 +151,8 @@ def links(distinct: DataFrame, sample: int = SAMPLE, shard: int = SHARD) -> Data
     """(fp, other): a forest that joins all fingerprints linked by steps of 3 bits or fewer within a shard; fp > other."""
     some = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     n = distinct.count()
-    depth = min(int(np.log2(max(1, sample // 16))), int(np.ceil(np.log2(max(1.0, n / shard)))))
+    wanted = int(np.ceil(np.log2(max(1.0, n / shard))))
+    depth = min(int(np.log2(max(1, sample // 16))), wanted)
     trees = [grow(some, m, depth) for m in HALVES]
 
     def f(batch: pa.RecordBatch) -> dict:
@@ -160,7 +170,44 @@ def links(distinct: DataFrame, sample: int = SAMPLE, shard: int = SHARD) -> Data
         b = np.repeat(np.array(least, np.int64), [len(g) for g in found])
         return pa.table({"fp": a[a != b], "other": b[a != b]})
 
-    return map_batches(distinct.select("fp"), f, "shard long, fp long").groupBy("shard").applyInArrow(pairs, "fp long, other long").distinct()
+    dealt = map_batches(distinct.select("fp"), f, "shard long, fp long")
+    if depth < wanted:
+        dealt = deeper(table(dealt, "dealt"), shard)
+    return dealt.groupBy("shard").applyInArrow(pairs, "fp long, other long").distinct()
+
+
+def deeper(dealt: DataFrame, shard: int, few: int = SHARD_SAMPLE) -> DataFrame:
+    """(shard, fp) with large shards dealt again, by a tree from a sample of each, until none is large that can be parted."""
+    dealt = dealt.withColumn("rests", F.lit(False))
+    parts = 1_000_000
+    while True:
+        large = table(dealt.filter("not rests").groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * shard), "large")
+        if large.isEmpty():
+            return dealt.drop("rests")
+        some = dealt.join(broadcast_if_small(large, MOST_BROADCAST), "shard").filter(F.pmod(F.xxhash64("fp", "shard"), F.lit(parts)) < F.ceil(F.lit(parts * few) / F.col("n")))
+
+        def tree(group: pa.Table) -> pa.Table:
+            s, n = group.column("shard")[0].as_py(), group.column("n")[0].as_py()
+            depth = int(np.ceil(np.log2(n / shard)))
+            found = grow(np.sort(group.column("fp").to_numpy().view(np.uint64)), HALVES[s % 2], min(depth, int(np.log2(max(2, few // 16)))))
+            return pa.table({"shard": pa.array([s], pa.int64()), "tree": pa.array([pickle.dumps(found)], pa.binary())})
+
+        trees = table(some.select("shard", "fp", "n").groupBy("shard").applyInArrow(tree, "shard long, tree binary"), "trees")
+
+        def deal_again(batch: pa.RecordBatch) -> dict:
+            shards, fps, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
+            out: list[tuple[int, np.ndarray, bool]] = []
+            for s in np.unique(shards).tolist():
+                at = np.flatnonzero(shards == s)
+                own = pickle.loads(blobs[int(at[0])].as_py())
+                for leaf, part in deal(fps[at], own, HALVES[s % 2]):  # a shard's number keeps the half as its last bit
+                    name = s if isinstance(own, int) else (xxhash.xxh64_intdigest(f"{s}/{leaf}") >> 2 << 1) | (s % 2)
+                    out.append((name, part, isinstance(own, int)))
+            return {"shard": [k for k, p, _ in out for _ in p], "fp": np.concatenate([p for _, p, _ in out]).view(np.int64) if out else [], "rests": [r for _, p, r in out for _ in p]}
+
+        met = dealt.join(broadcast_if_small(trees, MOST_BROADCAST), "shard", "left")
+        again = map_batches(met.filter("tree is not null").select("shard", "fp", "tree"), deal_again, "shard long, fp long, rests boolean")
+        dealt = table(met.filter("tree is null").select("shard", "fp", "rests").unionByName(again), "dealt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,6 +249,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return keep_least(docs, prints, clusters(prints, "id").select("fp", "root"), key, text)
 
 
+def ordered(docs: DataFrame, column: str) -> Column:
+    """A column to put rows in order by: as text where its type has no order, as maps and variants have none."""
+    kind = docs.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(F.col(f"`{column}`"))) if any(x in kind for x in ("map<", "variant")) else F.col(f"`{column}`")
+
+
 def keep_least(docs: DataFrame, prints: DataFrame, clustered: DataFrame, key: str, text: str) -> DataFrame:
     """docs without all but the least id of each root; prints has (id, mark, fp), clustered (fp, root)."""
     named = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
@@ -219,6 +272,6 @@ def keep_least(docs: DataFrame, prints: DataFrame, clustered: DataFrame, key: st
         return stays
     again = broadcast_if_small(again, MOST_BROADCAST)
     tied = stays.join(again, on, "left_semi").withColumn("__sim_text", F.xxhash64(text))
-    w = Window.partitionBy(key, "__sim_text").orderBy(*[F.col(c) for c in docs.columns])
+    w = Window.partitionBy(key, "__sim_text").orderBy(*[ordered(docs, c) for c in docs.columns])
     tied = tied.withColumn("__sim_nth", F.row_number().over(w)).filter("__sim_nth = 1")
     return stays.join(again, on, "left_anti").unionByName(tied.select(*docs.columns))
