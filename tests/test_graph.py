@@ -72,7 +72,7 @@ def test_paths_and_centralities(spark, seed):
     for a, b in paths:
         walk([a], b)
     want = {v: sum(sum(v in p[1:-1] for p in ps) / len(ps) for ps in paths.values()) for v in nodes}
-    assert {r["node"]: round(r["betweenness"], 9) for r in N.betweenness(e).collect()} == {v: round(x, 9) for v, x in want.items()}
+    assert {r["node"]: round(r["betweenness"], 9) for r in N.betweenness(e, N.vertices(e)).collect()} == {v: round(x, 9) for v, x in want.items()}
     # Components.
     strong = {v: min(u for u in nodes if u in d[v] and v in d[u]) for v in nodes}
     assert dict(rows_of(N.strong_components(e))) == strong
@@ -132,6 +132,106 @@ def test_communities_and_flow(spark):
     assert {r["cluster"] for r in N.spectral(e, 3).collect()} <= {0, 1, 2}
 
 
+def test_communities_of_named_nodes(spark):
+    cliques = [(f"n{a:02d}", f"n{b:02d}", 1.0) for base in (0, 10) for a, b in itertools.combinations(range(base, base + 5), 2)] + [("n00", "n10", 1.0)]
+    e = spark.createDataFrame(cliques, "src string, dst string, weight double")
+    for found in (N.louvain(e), N.greedy_modularity(e), N.label_propagation(e, 8).withColumnRenamed("label", "community")):
+        at = {r["node"]: r["community"] for r in found.collect()}
+        assert len({at[f"n{i:02d}"] for i in range(1, 5)}) == 1 and len({at[f"n{i:02d}"] for i in range(11, 15)}) == 1 and at["n01"] != at["n11"]
+    assert N.spectral(e, 2).count() == 10
+
+
+def test_long_chains(spark):
+    chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    start = spark.range(1).select(F.col("id").alias("node"))
+    assert N.eccentricities(chain, start).first()["eccentricity"] == 60
+    assert V.shortest_distances(chain, start).agg(F.max("distance")).first()[0] == 60.0
+    assert N.strong_components(chain.unionByName(chain.limit(0))).count() == 61
+
+
+def test_strong_components_need_no_cap(spark):
+    # five rings on a string: the rest of a part falls into other parts, round after round
+    rings = [(5 * k + i, 5 * k + (i + 1) % 5) for k in range(5) for i in range(5)] + [(5 * k, 5 * k + 5) for k in range(4)]
+    got = dict(rows_of(N.strong_components(spark.createDataFrame(rings, "src long, dst long"))))
+    assert got == {v: v // 5 * 5 for v in range(25)}
+
+
+def test_large_hyperedges_are_dealt_to_blocks(spark):
+    m = spark.range(2_000).select(F.lit(1).cast("long").alias("hid"), F.col("id").alias("node")).unionByName(spark.createDataFrame([(2, 1), (2, 7)], "hid long, node long"))
+    pairs = H.co_members(m)
+    assert pairs.count() == 2_000 * 1_999 // 2 and rows_of(pairs.filter("shared = 2")) == [(1, 7, 2)]
+    small = m.filter("node < 40")
+    assert rows_of(H.co_members(small, block=7)) == rows_of(H.co_members(small))
+
+
+def plain_dfs(edges, at, depth):
+    after = defaultdict(list)
+    for a, b, *_ in edges:
+        after[a].append(b)
+    seen, out, stack = set(), [], [(at, 0)]
+    while stack:
+        v, d = stack.pop()
+        if v not in seen:
+            seen.add(v)
+            out.append((v, d))
+            stack += [(x, d + 1) for x in sorted(after[v], reverse=True) if x not in seen and d < depth]
+    return out
+
+
+def test_depth_first(spark):
+    for seed, depth in ((1, 10), (2, 3)):
+        edges = random_edges(seed)
+        e = spark.createDataFrame(edges, SCHEMA)
+        got = [(r["node"], r["depth"]) for r in V.dfs(e, F.lit(edges[0][0]).cast("long"), depth).orderBy("nth").collect()]
+        assert got == plain_dfs(edges, edges[0][0], depth)
+    assert [r["node"] for r in V.dfs(e, F.lit(edges[0][0]).cast("long"), 3, max_results=2).collect()] == [v for v, _ in plain_dfs(edges, edges[0][0], 3)][:2]
+
+
+def test_a_star_and_flow_without_a_driver(spark):
+    edges = random_edges(2)
+    e = spark.createDataFrame(edges, SCHEMA)
+    best = {(r["source"], r["node"]): r["distance"] for r in V.shortest_distances(e, N.vertices(e)).collect()}
+    (s, t) = max(best, key=lambda k: best[k])
+    h = spark.createDataFrame([(v, best[v, t]) for v, w in best if w == t], "node long, h double")
+    L = lambda x: F.lit(x).cast("long")  # noqa: E731,N806
+    for guess in (None, h):
+        got = V.a_star(e, L(s), L(t), guess).first()
+        weight = {(a, b): w for a, b, w in edges}
+        assert got["distance"] == best[s, t] == sum(weight[p] for p in zip(got["path"], got["path"][1:]))
+    flow = spark.createDataFrame([(0, 1, 3.0), (0, 2, 2.0), (1, 2, 5.0), (1, 3, 2.0), (2, 3, 3.0)], SCHEMA)
+    assert N.maximum_flow(flow, 0, 3, most_edges=0) == 5.0
+
+
+def test_motifs_of_four(spark):
+    edges = random_edges(6, 9, 34)
+    pairs = {(min(a, b), max(a, b)) for a, b, _ in edges}
+    want = defaultdict(int)
+    for four in itertools.combinations(range(9), 4):
+        inside = [p for p in itertools.combinations(four, 2) if p in pairs]
+        d = sorted(sum(v in p for p in inside) for v in four)
+        kind = {(3, 3, 3, 3): "clique", (2, 2, 3, 3): "diamond", (2, 2, 2, 2): "cycle", (1, 2, 2, 3): "paw", (1, 1, 1, 3): "star", (1, 1, 2, 2): "path"}.get(tuple(d))
+        if kind:
+            want[kind] += 1
+    got = {r["kind"]: r["n"] for r in M.motifs(spark.createDataFrame(edges, SCHEMA), 4).collect()}
+    assert {k: n for k, n in got.items() if n} == dict(want)
+
+
+def test_isomorphism_of_regular_graphs(spark):
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    two = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)]  # the same degrees, so colours alone can't tell
+    g = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    assert M.isomorphic(g(ring), g([(10 + (2 * a) % 7, 10 + (2 * b) % 7) for a, b in ring])) and not M.isomorphic(g(ring), g(two))
+
+
+def test_degree_bounds_and_nodes_alone(spark):
+    e = spark.createDataFrame([("a", "b", "X", 1.0), ("b", "c", "X", 1.0), ("a", "c", "X", 1.0)], "src string, dst string, type string, weight double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    p = M.Pattern([M.NodeSpec("y", max_degree=0, direction="out")], [M.EdgeSpec("x", "y")])
+    assert rows_of(M.match(e, p), "x", "y") == [("a", "c"), ("b", "c")]
+    assert rows_of(M.match(e, M.Pattern([M.NodeSpec("v")]), nodes)) == [("a",), ("b",), ("c",), ("d",)]
+    assert M.match(e, M.Pattern([M.NodeSpec("v"), M.NodeSpec("w")]), nodes).count() == 12
+
+
 def test_walks_agree_and_follow_edges(spark):
     edges = random_edges(5)
     e = spark.createDataFrame(edges, SCHEMA)
@@ -176,8 +276,12 @@ def test_hypergraph(spark):
     assert rows_of(H.sizes(m)) == [(1, 3), (2, 2), (3, 1)]
     assert H.clusters(m, L(1), 1, 5).count() == 0
     assert H.eigenvector(m).count() == 4
-    with pytest.raises(ValueError, match="more than"):
-        H.co_members(m, most=2)
+    named = m.select(F.concat(F.lit("h"), "hid").alias("hid"), F.concat(F.lit("n"), "node").alias("node"))
+    assert rows_of(H.shortest_path(named, "n1", "n4")) == [(("n1", "n3", "n4"), ("h1", "h2"))]
+    assert {r["node"] for r in H.communities(named).collect()} == {"n1", "n2", "n3", "n4"}
+    kept, missing = H.create(m, spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "id long"))
+    assert rows_of(missing) == [(3, 1)] and kept.count() == 5
+    assert {r["community"] for r in H.modularity_clusters(named).collect()} <= {"n1", "n2", "n3", "n4"}
     assert sorted(r["line"] for r in H.export(m).collect())[0] == '{"hid":1,"members":[1,2,3]}'
 
 

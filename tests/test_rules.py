@@ -69,6 +69,85 @@ def test_sparql(spark):
         Q.parse("DROP everything")
 
 
+def test_sparql_terms_and_optional_parts(spark):
+    t = foaf(spark).unionByName(spark.createDataFrame([("q", "name", "?x"), ("http://x/n", "p", "v"), ("bob", "p", "2"), ("bob", "q", "1")], "s string, p string, o string"))
+    assert rows_of(Q.sparql(t, 'SELECT ?s WHERE { ?s name "?x" }')) == [("q",)]
+    assert rows_of(Q.sparql(t, "PREFIX x: <http://x/> SELECT ?o WHERE { x:n p ?o }")) == [("v",)]
+    assert rows_of(Q.sparql(t, "SELECT ?o ?z WHERE { ?s p ?o OPTIONAL { ?s q ?z FILTER(?z != ?o) } }")) == [("2", "1"), ("v", None)]
+    assert rows_of(Q.sparql(t, 'SELECT ?s ?z WHERE { ?s a Company OPTIONAL { ?z name "nobody" } }')) == [("acme", None)]
+    assert [r["p"] for r in Q.sparql(t, "SELECT DISTINCT ?p WHERE { ?s ?p ?o } ORDER BY DESC(?p) LIMIT 2").collect()] == ["type", "q"]
+    assert rows_of(Q.sparql(t, "DESCRIBE <bob>")) == rows_of(t.filter("s = 'bob' or o = 'bob'"))
+    assert [len(x.collect()) for x in Q.batch(t, ['INSERT DATA { new name "n" }', 'SELECT ?s WHERE { ?s name "n" }'])] == [t.count() + 1, 1]
+    assert [s["part"] for s in Q.explain("SELECT ?x WHERE { { ?x a A } UNION { ?x a B } OPTIONAL { ?x p ?y } }")["steps"]] == ["union", "union", "optional"]
+
+
+def test_rules_that_count_and_compute(spark):
+    p = D.Program(spark).add("""
+        edge(a, b). edge(b, c). edge(c, d). edge(a, d). node(X) :- edge(X, _). node(X) :- edge(_, X).
+        path(X, Y, 1) :- edge(X, Y).
+        path(X, Z, N) :- edge(X, Y), path(Y, Z, M), N = M + 1, N <= 10.
+        degree(X, N) :- node(X), N = count(Y : edge(X, Y)).
+        ends(X, T) :- node(X), T = {Y : edge(X, Y)}.
+        far(X, T) :- node(X), T = top(2, Y, N : path(X, Y, N)).
+        nearest(X, N) :- node(X), N = min(M : path(X, _, M)).
+    """)
+    assert rows_of(p.query('path("a", "d", N)')) == [("1",), ("3",)]
+    assert rows_of(p.query("degree(X, N)")) == [("a", "2"), ("b", "1"), ("c", "1"), ("d", "0")]
+    assert rows_of(p.query("ends(X, T)")) == [("a", "b,d"), ("b", "c"), ("c", "d"), ("d", "")]
+    assert rows_of(p.query('far("a", T)')) == [("d,c",)] and rows_of(p.query("nearest(X, N)")) == [("a", "1"), ("b", "1"), ("c", "1")]
+    with pytest.raises(ValueError, match="unsafe"):
+        D.Program(spark).add("p(X, N) :- q(X), N = M + 1.")
+
+
+def test_magic_extension_and_proof(spark):
+    text = "par(a, b). par(b, c). par(c, d). par(x, y). par(z, y). anc(X, Y) :- par(X, Y). anc(X, Z) :- par(X, Y), anc(Y, Z). sg(X, X) :- par(_, X). sg(X, Y) :- par(A, X), sg(A, B), par(B, Y)."
+    p = D.Program(spark).add(text)
+    for goal in ("anc(b, Z)", "anc(X, d)", "anc(X, Y)", "sg(b, Y)", "anc(a, d)"):
+        assert rows_of(p.magic(goal)) == rows_of(D.Program(spark).add(text).query(goal))
+    p.run()
+    p.extend("par", spark.createDataFrame([("d", "e"), ("a", "b")], "x string, y string"))
+    whole = D.Program(spark).add(text + " par(d, e).")
+    assert rows_of(p.query("anc(X, Y)")) == rows_of(whole.query("anc(X, Y)")) and rows_of(p.query("sg(X, Y)")) == rows_of(whole.query("sg(X, Y)"))
+    proof = p.prove("anc(a, c)")
+    assert proof[0] == (0, "anc(a, c)", "anc/2") and (1, "par(a, b)", "given") in proof and p.prove("anc(c, a)") is None
+
+
+def test_transactions_and_kept_results(spark):
+    from weft.plans.store import Store
+    from weft.sources.tables import Graph
+
+    s = Store(Graph(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "src string, dst string")))
+    t = s.begin().insert(edges=spark.createDataFrame([("a", "q")], "src string, dst string"))
+    with pytest.raises(ValueError, match="no node"):
+        t.commit()
+    assert s.version == 0 and s.begin().insert(nodes=spark.createDataFrame([("b",)], "id string")).commit() == 1
+    with pytest.raises(ValueError, match="ended"):
+        t.insert()
+
+
+def test_language(spark):
+    from weft.plans.language import Knowledge
+    from weft.sources.tables import Graph
+
+    nodes = spark.createDataFrame([], "id string, type string, properties map<string,string>")
+    k = Knowledge(Graph(nodes, spark.createDataFrame([], "src string, dst string, type string")))
+    got = k.run("""
+        DEFINE entity Person WITH PROPERTIES name AS string, age AS int END
+        DEFINE relationship KNOWS CONNECTING Person TO Person END
+        DECLARE knowledge_graph people AS ENTITIES Person RELATIONSHIPS KNOWS END
+        ASSERT Person ann WITH name "Ann A", age 31 ASSERT Person bob WITH age 9 ASSERT Person cid WITH age 40
+        ESTABLISH KNOWS BETWEEN ann AND bob ESTABLISH KNOWS BETWEEN bob AND cid
+        WHEN x KNOWS y AND y KNOWS z THEN x MAY_KNOW z
+        FIND ALL Person p WHERE p.age > 20 ORDERED BY p.age DESC
+        FIND SOME Person p WHERE p MAY_KNOW cid""")
+    assert [r["id"] for r in got[0].collect()] == ["cid", "ann"] and [r["id"] for r in got[1].collect()] == ["ann"]
+    assert k.graphs == {"people": ["Person", "KNOWS"]}
+    with pytest.raises(ValueError, match="has no"):
+        k.run("ASSERT Person dan WITH height 3")
+    with pytest.raises(ValueError, match="connects"):
+        k.run("ESTABLISH KNOWS BETWEEN ann AND nobody")
+
+
 def test_terms_and_inference(spark):
     t = foaf(spark)
     assert rows_of(Q.distinct_terms(t, "p", s="bob")) == [("age",), ("name",), ("type",)]
@@ -90,5 +169,22 @@ def test_formats(spark, tmp_path):
     e = spark.createDataFrame([("a&b", "c", "T", 2.0)], "src string, dst string, type string, weight double")
     assert formats.graphml_lines(e).first()["line"] == '<edge source="a&amp;b" target="c"><data key="type">T</data></edge>'
     assert formats.gexf_lines(e).first()["line"].endswith('weight="2.0"/>')
+    import xml.dom.minidom
+
+    nodes = spark.createDataFrame([("a&b", "T", {"k": "<v>"}), ("c", "T", {})], "id string, type string, properties map<string,string>")
+    for kind in ("graphml", "gexf"):
+        formats.write(e, str(tmp_path / kind), kind, nodes=nodes)
+        text = "".join(r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / kind)).collect())
+        doc = xml.dom.minidom.parseString(text)
+        assert len(doc.getElementsByTagName("node")) == 2 and len(doc.getElementsByTagName("edge")) == 1
+    formats.write(e, str(tmp_path / "jsonl"), "jsonl", nodes=nodes)
+    back = formats.load_graph(spark, str(tmp_path / "jsonl"))
+    assert rows_of(back[0], "id", "type") == [("a&b", "T"), ("c", "T")] and rows_of(back[1]) == [("a&b", "c", "T", 2.0)]
+    formats.write(t, str(tmp_path / "turtle"), "turtle")
+    assert rows_of(formats.load(spark, str(tmp_path / "turtle"), "turtle")) == rows_of(t)
+    long = """@prefix f: <http://x/> .
+f:a a f:P ; f:n "A \\"q\\"", "b"@en, "1"^^f:int ; f:k <urn:weft:C1> . # said
+"""
+    assert formats.parse_turtle(long) == [("http://x/a", "type", "http://x/P"), ("http://x/a", "http://x/n", 'A "q"'), ("http://x/a", "http://x/n", "b"), ("http://x/a", "http://x/n", "1"), ("http://x/a", "http://x/k", "C1")]
     formats.compact(spark, str(tmp_path / "parquet"), str(tmp_path / "compact"), 1)
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 1

@@ -39,6 +39,20 @@ def test_overlaps_against_all_pairs(spark):
     assert sorted((x["id"], x["b_id"]) for x in T.overlap_join(f, f, ["k"], 7).collect()) == want
 
 
+def test_overlaps_of_open_intervals(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, i % 3, day(r.randrange(200)) if r.random() < 0.8 else None, day(200 + r.randrange(90) - r.randrange(150)) if r.random() < 0.7 else None) for i in range(60)] + [(90, 7, None, None), (91, 7, None, None)]
+    f = spark.createDataFrame(rows, "id int, k int, valid_from timestamp, valid_to timestamp")
+    low, high = (lambda x: x or day(-1)), (lambda x: x or day(999))
+    good = [x for x in rows if low(x[2]) <= high(x[3])]
+    want = sorted((a[0], b[0]) for a in good for b in good if a[1] == b[1] and low(a[2]) <= high(b[3]) and low(b[2]) <= high(a[3]))
+    assert sorted((x["id"], x["b_id"]) for x in T.overlap_join(f, f, ["k"], 30).collect()) == want
+    facts = spark.createDataFrame([(1, "x", day(0), None), (1, "y", day(9), None)], "k int, v string, valid_from timestamp, valid_to timestamp")
+    assert T.exclusive_conflicts(facts, ["k"], "v").count() == 1
+
+
 def test_versions(spark):
     assert spark.range(1).select(T.next_version(F.lit("1.2.9")), T.next_version(F.lit("7"), "sequential")).first()[:] == ("1.2.10", "8")
     rows = spark.createDataFrame([("a", 1, "x", 0.5), ("a", 2, "y", 0.9), ("a", 3, "x", 0.5)], "k string, t int, v string, confidence double")
@@ -55,7 +69,7 @@ def test_scalars(spark):
         S.literal(F.lit('a"b'), "string"), S.decayed(F.lit(1.0), F.lit(False)), S.level_score(F.lit("Expert")), S.clean(F.lit(" a\tb ")),
         S.period_end(F.lit("2020-02-10").cast("timestamp"), "month"), S.to_micros(S.from_micros(F.lit(5))), S.euclidean(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))),
     ).first()
-    assert got[:15] == (8, 63, 3, 1, "0_2", "unknown", -1, 1 / 3, 0.0, False, 2, '"a\\"b"', 0.8, 0.9, "ab")
+    assert got[:15] == (8, 63, 3, 1, "0_2", "unknown", -1, 1 / 3, 0.0, False, 2, '"a\\"b"', 0.8, 10, "ab")
     assert got[15] == dt.datetime(2020, 2, 29, 23, 59, 59, 999999) and got[16] == 5 and got[17] == 5.0
     z = F.struct(F.lit(3.0).alias("re"), F.lit(4.0).alias("im"))
     zz = one.select(z.alias("z")).select(S.magnitude("z"), S.complex_multiply("z", "z").alias("p")).first()

@@ -143,8 +143,8 @@ def decayed(confidence: str | Column, valid: str | Column, by: float = 0.8) -> C
 
 
 def level_score(level: str | Column) -> Column:
-    """Scores of levels of expertise."""
-    scores = {"novice": 0.2, "beginner": 0.3, "intermediate": 0.5, "advanced": 0.7, "expert": 0.9, "master": 1.0}
+    """Scores of levels of expertise; null for any other."""
+    scores = {"expert": 10, "advanced": 8, "intermediate": 6, "beginner": 3}  # fixed values
     return F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])[F.lower(_c(level))]
 
 

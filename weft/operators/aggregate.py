@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.plans.lineage import broadcast_if_small
+from weft.plans.lineage import broadcast_if_small, table
 from weft.sources.tables import Graph
 
 
@@ -46,14 +46,14 @@ def percentiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...
     named = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("_all"), F.col("least").cast("double").alias("_low"), F.col("most").cast("double").alias("_high"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
     width = F.nullif((F.col("_high") - F.col("_low")) / CELLS, F.lit(0.0))
-    placed = known.join(broadcast_if_small(named), same).withColumn("_cell", F.coalesce(F.floor((v - F.col("_low")) / width), F.lit(0)))
+    placed = known.join(broadcast_if_small(table(named, "bounds")), same).withColumn("_cell", F.coalesce(F.floor((v - F.col("_low")) / width), F.lit(0)))
     cells = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
     along = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS + 1 rows
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
     index = lambda p: F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
     held = [F.when((index(p) >= F.col("_before")) & (index(p) < F.col("_before") + F.col("_n")), index(p) - F.col("_before")) for p in at]
     wanted = cells.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_cell").alias("_at"), F.array(*held).alias("_want")).filter(F.exists("_want", lambda x: x.isNotNull()))
-    inner = placed.drop(*[f"_{c}" for c in by]).join(broadcast_if_small(wanted), same & (F.col("_cell") == F.col("_at")))
+    inner = placed.drop(*[f"_{c}" for c in by]).join(broadcast_if_small(table(wanted, "wanted")), same & (F.col("_cell") == F.col("_at")))
     nth = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(value)) - 1
     found = inner.withColumn("_nth", nth).groupBy(*by).agg(*[F.max(F.when(F.col("_nth") == F.col("_want")[i], F.col(value))).alias(f"p{round(p * 100)}") for i, p in enumerate(at)])
     found = found.withColumnsRenamed({c: f"_{c}" for c in by})
@@ -84,3 +84,16 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -
 def approximate(rows: DataFrame, value: str, quality: float = 0.95) -> DataFrame:
     """Distinct count and median, each with an error of 1 - quality."""
     return rows.agg(F.approx_count_distinct(value, 1 - quality).alias("distinct_values"), F.percentile_approx(value, 0.5, int(1 / (1 - quality) ** 2)).alias("median"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "nth") -> DataFrame:
+    """rows with their number, from 1, in an order of all: ranges are sorted apart and begin after those before them."""
+    placed = table(rows.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "ordered")
+    part, at = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
+    before, n = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):  # a row a range
+        before.append((r["part"], n))
+        n += r["n"]
+    offsets = placed.sparkSession.createDataFrame(before, "_part long, _before long")
+    met = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return met.withColumn(name, F.col("_before") + at + 1).drop("_row", "_part", "_before")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.aggregate import numbered
 from weft.operators.match import canonical, triangles
 from weft.operators.scan import both_ways
 from weft.operators.traverse import multi_bfs, shortest_distances
@@ -40,9 +41,9 @@ def density(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return d.agg(n.alias("nodes"), m.cast("long").alias("edges"), (2 * m / F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))).alias("density"), F.avg("degree").alias("average_degree"), F.min("degree").alias("least_degree"), F.max("degree").alias("most_degree"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, weighted: bool = False) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, weighted: bool = False, change: str = "sum") -> DataFrame:
     """(node, rank): ranks start at 1/n; what nodes without outgoing edges have is dropped; stops once a round changes less than
-    tolerance in all, which is looked at every PACE rounds."""
+    tolerance in all (change sum) or anywhere (max), which is looked at every PACE rounds."""
     w = "weight" if weighted else F.lit(1.0)
     e = edges.select("src", "dst", (F.col("weight") if weighted else w).alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
@@ -57,7 +58,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
         cut = (i + 1) % PACE == 0 or i + 1 == iterations
         new = table(new, "ranks") if cut else new
         ranks = new.select("node", "rank")
-        if cut and tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0) < tolerance:
+        if cut and tolerance is not None and (new.agg({"sum": F.sum, "max": F.max}[change](F.abs(F.col("rank") - F.col("before")))).first()[0] or 0) < tolerance:
             break
     return ranks
 
@@ -125,7 +126,7 @@ def _reach(edges: DataFrame, start: DataFrame, forward: bool) -> DataFrame:
         seen = table(seen.unionByName(front), "reach")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each strongly connected component.
 
     Nodes without edges in or out of their part are alone. In every part the least node is the pivot; what it reaches and
@@ -134,9 +135,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     nodes = table(vertices(edges).withColumn("color", F.lit("")), "parts")
     e = table(edges.select("src", "dst").filter("src != dst").distinct().withColumn("color", F.lit("")), "part-edges")
     done = None
-    for _ in range(max_rounds):
-        if nodes.isEmpty():
-            break
+    while not nodes.isEmpty():  # every round at least each part's pivot finds its component
         while True:  # trim
             alone = table(nodes.join(e.select(F.col("src").alias("node")), "node", "left_anti").unionByName(nodes.join(e.select(F.col("dst").alias("node")), "node", "left_anti")).distinct(), "alone")
             if alone.isEmpty():
@@ -158,7 +157,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         nodes = table(rest, "parts")
         at = lambda c: nodes.select(F.col("node").alias(c), F.col("color").alias(f"{c}_color"))
         e = table(e.select("src", "dst").join(at("src"), "src").join(at("dst"), "dst").filter("src_color = dst_color").select("src", "dst", F.col("src_color").alias("color")), "part-edges")
-    return done
+    return nodes.select("node", F.col("node").alias("component")) if done is None else done
 
 
 def triangle_counts(edges: DataFrame) -> DataFrame:
@@ -180,23 +179,21 @@ def global_clustering(edges: DataFrame) -> DataFrame:
     return clustering(edges).agg(F.avg("coefficient").alias("average"), (F.sum("triangles") / F.nullif(F.sum(pairs), F.lit(0.0))).alias("transitivity"))
 
 
-def closeness(edges: DataFrame, sources: DataFrame | None = None, direction: str = "out", weighted: bool = False, max_hops: int = 50) -> DataFrame:
-    """(node, reachable, closeness): nodes reached over the sum of their distances. All pairs, unless sources are given."""
-    sources = vertices(edges) if sources is None else sources
+def closeness(edges: DataFrame, sources: DataFrame, direction: str = "out", weighted: bool = False, max_hops: int | None = None) -> DataFrame:
+    """(node, reachable, closeness) of a stated set of sources (node): nodes reached over the sum of their distances."""
     found = shortest_distances(edges, sources, direction, max_hops) if weighted else multi_bfs(edges, sources, max_hops, direction).withColumnRenamed("depth", "distance")
     total = F.sum("distance")
     return found.filter("source != node").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("reachable"), (F.count("*") / F.nullif(total.cast("double"), F.lit(0.0))).alias("closeness"))
 
 
-def eccentricities(edges: DataFrame, sources: DataFrame | None = None, direction: str = "both", weighted: bool = False, max_hops: int = 50) -> DataFrame:
-    """(node, eccentricity): the farthest that each source reaches."""
-    sources = vertices(edges) if sources is None else sources
+def eccentricities(edges: DataFrame, sources: DataFrame, direction: str = "both", weighted: bool = False, max_hops: int | None = None) -> DataFrame:
+    """(node, eccentricity): the farthest that each of a stated set of sources (node) reaches."""
     found = shortest_distances(edges, sources, direction, max_hops).withColumnRenamed("distance", "depth") if weighted else multi_bfs(edges, sources, max_hops, direction)
     return found.groupBy(F.col("source").alias("node")).agg(F.max("depth").alias("eccentricity"))
 
 
-def extent(edges: DataFrame, sources: DataFrame | None = None, direction: str = "both", weighted: bool = False) -> DataFrame:
-    """(diameter, radius, mean_eccentricity, center, periphery): the last two count nodes."""
+def extent(edges: DataFrame, sources: DataFrame, direction: str = "both", weighted: bool = False) -> DataFrame:
+    """(diameter, radius, mean_eccentricity, center, periphery) over a stated set of sources (node); the last two count them."""
     e = table(eccentricities(edges, sources, direction, weighted), "eccentricities")
     bounds = e.agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.avg("eccentricity").alias("mean_eccentricity"))
     met = e.join(F.broadcast(bounds), F.col("eccentricity").between(F.col("radius"), F.col("diameter")))  # one row
@@ -204,23 +201,22 @@ def extent(edges: DataFrame, sources: DataFrame | None = None, direction: str =
     return met.agg(first("diameter"), first("radius"), first("mean_eccentricity"), F.count_if(F.col("eccentricity") == F.col("radius")).alias("center"), F.count_if(F.col("eccentricity") == F.col("diameter")).alias("periphery"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, direction: str = "out", normalized: bool = False, max_depth: int = 50) -> DataFrame:
-    """(node, betweenness) by Brandes: counts of shortest paths level by level from all sources at once, shares back again.
-
-    With sources, a sample's sum, scaled to all nodes.
-    """
-    from weft.operators.traverse import directed
+def betweenness(edges: DataFrame, sources: DataFrame, direction: str = "out", normalized: str | None = None, max_depth: int | None = None) -> DataFrame:
+    """(node, betweenness) by Brandes from a stated set of sources (node), scaled to all nodes: counts of shortest paths level by
+    level from all sources at once, shares back again. normalized: "ordered" over n (n - 1), "pairs" over (n - 1) (n - 2) / 2."""
+    from weft.operators.traverse import _steps, directed
 
     e = table(directed(edges, direction), "between-edges")
     nodes = table(vertices(edges), "between-nodes")
     n = nodes.count()
-    chosen = nodes if sources is None else sources.select("node")
+    chosen = table(sources.select("node").distinct().join(nodes, "node", "left_semi"), "between-sources")
     k = chosen.count()
     seen = table(chosen.select(F.col("node").alias("source"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")), "between")
     levels = [seen]
-    for depth in range(1, max_depth + 1):
+    for depth in _steps(max_depth):
         step = levels[-1].select("source", F.col("node").alias("src"), "paths").join(e, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        new = table(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(depth).alias("depth"), "paths"), "between")
+        known = levels[-1].unionByName(levels[-2]) if direction == "both" and depth > 1 else seen  # neighbours are one level apart at most
+        new = table(step.join(known.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(depth).alias("depth"), "paths"), "between")
         if new.isEmpty():
             break
         levels.append(new)
@@ -232,8 +228,9 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, direction: s
         total = own.select("node", "share") if total is None else total.unionByName(own.select("node", "share"))
         up = own.select("source", F.col("node").alias("dst"), ((1 + F.col("share")) / F.col("paths")).alias("x")).join(e, "dst")
         up = up.join(above.select("source", F.col("node").alias("src"), F.col("paths").alias("p")), ["source", "src"])
-        share = table(up.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("share")), "shares")
-    scale = (n / k if sources is not None and k else 1.0) * (1.0 / max(1, n * (n - 1)) if normalized else 1.0)
+        share = up.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("share"))
+    by = {None: 1.0, "ordered": 1.0 / max(1, n * (n - 1)), "pairs": 2.0 / max(1, (n - 1) * (n - 2))}[normalized]
+    scale = (n / k if k else 1.0) * by
     if total is None:
         return nodes.withColumn("betweenness", F.lit(0.0))
     sums = total.groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
@@ -269,16 +266,11 @@ def label_propagation(edges: DataFrame, rounds: int = 5, weighted: bool = False)
     labels = table(vertices(edges).withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         votes = e.join(labels.withColumnRenamed("node", "src"), "src").groupBy("dst", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("dst").alias("node")).agg(F.max_by("label", F.struct("w", _descending("label"))).alias("label"))
+        best = votes.groupBy(F.col("dst").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
         labels = table(best, "labels")
     return labels
 
 
-def _descending(column: str):
-    """An order in which the least value is the greatest, for numbers."""
-    return -F.col(column)
-
-
 def louvain(edges: DataFrame, rounds: int = 10, levels: int = 3, resolution: float = 1.0) -> DataFrame:
     """(node, community): moves that raise modularity, then communities become nodes, level by level.
 
@@ -316,7 +308,7 @@ def _move(e: DataFrame, rounds: int, resolution: float) -> DataFrame:
         gain = F.col("w_in") - resolution * F.col("k") * rest / (2 * total)
         stay = own.join(sums.withColumnRenamed("community", "own"), "own").select("node", F.col("own").alias("community"), (-resolution * F.col("k") * (F.col("sum_k") - F.col("k")) / (2 * total)).alias("gain"))
         every = cand.select("node", "community", gain.alias("gain")).unionByName(stay.join(into.select("node", "community"), ["node", "community"], "left_anti"))
-        pick = every.groupBy("node").agg(F.max_by("community", F.struct(F.round("gain", 9), _descending("community"))).alias("to"))
+        pick = every.groupBy("node").agg(F.min_by("community", F.struct(-F.round("gain", 9), "community")).alias("to"))
         side = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         new = table(at.join(pick, "node").select("node", F.when(side, F.col("to")).otherwise(F.col("community")).alias("community")), "moves")
         q = modularity(e, new, resolution)
@@ -371,23 +363,48 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, seed: int = 7, iterat
 
 
 def spectral(edges: DataFrame, k: int, iterations: int = 10) -> DataFrame:
-    """(node, cluster) by power iteration clustering over integer nodes."""
+    """(node, cluster) by power iteration clustering; nodes may have any type, they are numbered first."""
     from pyspark.ml.clustering import PowerIterationClustering
 
-    e = edges.select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst"), "weight").filter("src < dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    ids = table(numbered(vertices(edges), [F.asc("node")], "id"), "spectral-ids")
+    name = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    e = edges.join(name("src"), "src").join(name("dst"), "dst")
+    e = e.select(F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst"), "weight").filter("src < dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight").assignClusters(e)
-    return out.select(F.col("id").alias("node"), "cluster")
+    return ids.join(out, "id").select("node", "cluster")
+
+
+def greedy_modularity(edges: DataFrame) -> DataFrame:
+    """(node, community): communities are joined as long as that raises modularity; each round, those that are each other's best."""
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    e = table(e, "greedy-edges")
+    total = e.agg(F.sum("w")).first()[0] or 1.0
+    found = table(vertices(e).withColumn("community", F.col("node")), "greedy")
+    while True:
+        k = e.select(F.explode(F.array("src", "dst")).alias("c"), "w").groupBy("c").agg((F.sum("w") / (2 * total)).alias("a"))
+        at = lambda c: k.select(F.col("c").alias(c), F.col("a").alias(f"{c}_a"))  # noqa: E731,B023
+        gain = F.col("w") / total - 2 * F.col("src_a") * F.col("dst_a")
+        rises = table(e.filter("src != dst").join(at("src"), "src").join(at("dst"), "dst").withColumn("gain", F.round(gain, 12)).filter("gain > 0").select("src", "dst", "gain"), "greedy-gains")
+        ends = rises.select(F.explode(F.array("src", "dst")).alias("c"), F.struct(-F.col("gain"), "src", "dst").alias("x"), F.struct("src", "dst").alias("pair"))
+        best = ends.groupBy("c").agg(F.min_by("pair", "x").alias("pair"))
+        joined = table(best.groupBy("pair").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("pair.dst").alias("old"), F.col("pair.src").alias("new")), "greedy-joined")
+        if joined.isEmpty():
+            return found
+        to = lambda df, c: df.join(joined.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")), c, "left").withColumn(c, F.coalesce(f"{c}_new", c)).drop(f"{c}_new")  # noqa: E731,B023
+        found = table(to(found, "community").select("node", "community"), "greedy")
+        e = to(to(e, "src"), "dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+        e = table(e, "greedy-edges")
 
 
 def maximum_flow(edges: DataFrame, source, sink, most_edges: int = 100_000) -> float:
-    """Value of the largest flow (Edmonds and Karp) in a small graph: it is refused beyond most_edges."""
+    """Value of the largest flow (Edmonds and Karp): up to most_edges in the driver, beyond by distributed searches."""
     from collections import defaultdict, deque
 
-    rows = edges.groupBy("src", "dst").agg(F.sum("weight").alias("c")).limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
+    summed = table(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("c")), "flow")
+    if summed.count() > most_edges:
+        return _distributed_flow(summed, source, sink)
     left: dict = defaultdict(lambda: defaultdict(float))
-    for r in rows:
+    for r in summed.collect():
         left[r["src"]][r["dst"]] += r["c"]
         left[r["dst"]][r["src"]] += 0.0
     flow = 0.0
@@ -412,8 +429,28 @@ def maximum_flow(edges: DataFrame, source, sink, most_edges: int = 100_000) -> f
         flow += step
 
 
+def _distributed_flow(left: DataFrame, source, sink) -> float:
+    """The same over a table of what is left (src, dst, c): only the one path of a round comes to the driver."""
+    from weft.operators.traverse import bfs_paths
+
+    flow = 0.0
+    while True:
+        open_ = left.filter(F.col("c") > 1e-12)
+        found = bfs_paths(open_, source).filter(F.col("node") == sink).first()
+        if found is None:
+            return flow
+        path = list(zip(found["path"], found["path"][1:], strict=False))
+        kind = left.schema["src"].dataType.simpleString()
+        on = left.sparkSession.createDataFrame(path, f"src {kind}, dst {kind}")
+        step = left.join(F.broadcast(on), ["src", "dst"]).agg(F.min("c")).first()[0]  # as many edges as the path has
+        change = on.withColumn("c", F.lit(-step)).unionByName(on.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(step).alias("c")))
+        left = table(left.unionByName(change).groupBy("src", "dst").agg(F.sum("c").alias("c")), "flow")
+        flow += step
+
+
 def laplacian_eigenvalues(edges: DataFrame, most_nodes: int = 2_000) -> list[float]:
-    """Of a small undirected graph, in order: refused beyond most_nodes."""
+    """All of a small undirected graph, in order: as many numbers as the square of its nodes are refused beyond most_nodes;
+    laplacian_moments() takes any size."""
     import numpy as np
 
     e = canonical(edges)
@@ -428,3 +465,27 @@ def laplacian_eigenvalues(edges: DataFrame, most_nodes: int = 2_000) -> list[flo
         m[i, i] += 1
         m[j, j] += 1
     return [float(x) for x in np.linalg.eigvalsh(m)]
+
+
+def laplacian_moments(edges: DataFrame) -> DataFrame:
+    """(nodes, eigenvalue_sum, eigenvalue_squares): of the undirected graph's Laplacian, from its degrees, at any size."""
+    e = canonical(edges)
+    d = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    return d.agg(F.count("*").alias("nodes"), F.sum("d").alias("eigenvalue_sum"), F.sum(F.col("d") * F.col("d") + F.col("d")).alias("eigenvalue_squares"))
+
+
+def ranked(values: DataFrame, value: str, key: str = "node") -> DataFrame:
+    """Centralities with their rank, from 1, the greatest first, then by node."""
+    return numbered(values, [F.desc(value), F.asc(key)], "rank")
+
+
+def summary(edges: DataFrame, sources: DataFrame, time: str | None = None) -> DataFrame:
+    """(metric, value): density, average degree, clustering, diameter over sources, components, and growth a period if times are there."""
+    d, c = density(edges).first(), global_clustering(edges).first()
+    parts = connected_components(edges).agg(F.countDistinct("component")).first()[0]
+    rows = [("nodes", float(d["nodes"])), ("edges", float(d["edges"])), ("density", d["density"]), ("average_degree", d["average_degree"]), ("clustering", c["average"]), ("components", float(parts)), ("diameter", float(extent(edges, sources).first()["diameter"]))]
+    if time is not None:
+        per = edges.groupBy(F.date_trunc("year", F.col(time)).alias("t")).agg(F.count("*").alias("n"))
+        ends = per.agg(F.min_by("n", "t").alias("a"), F.max_by("n", "t").alias("z")).first()
+        rows.append(("growth", ends["z"] / ends["a"] - 1 if ends["a"] else None))
+    return edges.sparkSession.createDataFrame(rows, "metric string, value double")

@@ -31,12 +31,30 @@ def hyperdegree(members: DataFrame) -> DataFrame:
     return members.distinct().groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def co_members(members: DataFrame, most: int = 1000) -> DataFrame:
-    """(a, b, shared), a < b: pairs in the same hyperedge. Hyperedges have at most so many members; larger ones are refused."""
-    m = members.distinct()
-    if not sizes(m).filter(F.col("size") > most).isEmpty():
-        raise ValueError(f"a hyperedge has more than {most} members")
-    pairs = m.select("hid", F.col("node").alias("a")).join(m.select("hid", F.col("node").alias("b")), "hid").filter("a < b")
+def mean_size(members: DataFrame) -> DataFrame:
+    return sizes(members).agg(F.avg("size").alias("mean_size"), F.count("*").alias("hyperedges"))
+
+
+def create(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hyperedges of which all members are nodes (id), and the (hid, missing) of the others, which are not created."""
+    missing = unknown_members(members.distinct(), nodes).groupBy("hid").agg(F.count("*").alias("missing"))
+    return members.join(missing, "hid", "left_anti"), missing
+
+
+#: Members of a hyperedge that are paired in one task.
+BLOCK = 1000
+
+
+def co_members(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, shared), a < b: pairs in the same hyperedge. A large hyperedge is dealt to blocks, and each two blocks are paired apart."""
+    m = members.select("hid", "node").distinct()
+    many = sizes(m).filter(F.col("size") > block).select("hid", F.ceil(F.col("size") / block).cast("int").alias("k"))
+    m = m.join(many, "hid", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    left = m.select("hid", F.col("node").alias("a"), F.col("own").alias("i"), every.alias("j"))
+    right = m.select("hid", F.col("node").alias("b"), F.col("own").alias("j"), every.alias("i"))
+    pairs = left.join(right, ["hid", "i", "j"]).filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -79,13 +97,13 @@ def shortest_path(members: DataFrame, source, target, most: int = 10) -> DataFra
     m = table(members.distinct(), "incidence")
     depth = table(ball(m, target, most), "ball")
     found = depth.filter(F.col("node") == source).first()
-    now = m.sparkSession.range(1).select(F.array(F.lit(source)).alias("nodes"), F.lit(source).alias("node"), F.expr("cast(array() as array<bigint>)").alias("hyperedges"))
+    now = m.sparkSession.range(1).select(F.array(F.lit(source)).alias("nodes"), F.lit(source).alias("node"), F.array().cast(f"array<{m.schema['hid'].dataType.simpleString()}>").alias("hyperedges"))
     if found is None:
         return now.limit(0).select("nodes", "hyperedges")
     for left in range(found["depth"] - 1, -1, -1):
         near = depth.filter(F.col("depth") == left).select(F.col("node").alias("to"))
         step = now.join(m, "node").join(m.select("hid", F.col("node").alias("to")), "hid").join(near, "to", "left_semi")
-        step = step.select(F.array_append("nodes", F.col("to")).alias("nodes"), F.col("to").alias("node"), F.array_append("hyperedges", F.col("hid").cast("long")).alias("hyperedges"))
+        step = step.select(F.array_append("nodes", F.col("to")).alias("nodes"), F.col("to").alias("node"), F.array_append("hyperedges", F.col("hid")).alias("hyperedges"))
         now = step.groupBy("node").agg(F.min(F.struct("nodes", "hyperedges")).alias("p")).select("p.nodes", "node", "p.hyperedges")
     return now.select("nodes", "hyperedges")
 
@@ -114,13 +132,36 @@ def eigenvector(members: DataFrame, iterations: int = 20) -> DataFrame:
     return x
 
 
-def betweenness(members: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Betweenness over the pairs of co-members."""
+def betweenness(members: DataFrame, sources: DataFrame) -> DataFrame:
+    """Betweenness over the pairs of co-members, from a stated set of sources (node)."""
     from weft.operators.analytics import betweenness as between
 
     return between(co_members(members).select(F.col("a").alias("src"), F.col("b").alias("dst")), sources, "both")
 
 
+def modularity_clusters(members: DataFrame) -> DataFrame:
+    """(node, community) by joining communities of co-members as long as modularity rises."""
+    from weft.operators.analytics import greedy_modularity
+
+    return greedy_modularity(co_members(members).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("shared").cast("double").alias("weight")))
+
+
+def match_incidence(members: DataFrame, kinds: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """Bindings of nodes and hyperedges: steps (node alias, hyperedge alias, type) that share aliases; different aliases differ."""
+    out, bound = None, []
+    typed = members.distinct().join(kinds, "hid")
+    for a, h, kind in steps:
+        step = typed.filter(F.col("type") == kind).select(F.col("node").alias(a), F.col("hid").alias(h))
+        shared = [x for x in (a, h) if x in bound]
+        out = step if out is None else out.join(step, shared) if shared else out.crossJoin(step)
+        bound += [x for x in (a, h) if x not in bound]
+    nodes = list(dict.fromkeys(a for a, _, _ in steps))
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            out = out.filter(F.col(a) != F.col(b))
+    return out
+
+
 def communities(members: DataFrame, rounds: int = 5) -> DataFrame:
     """Label propagation weighted by shared hyperedges, for so many rounds."""
     from weft.operators.analytics import label_propagation
@@ -135,9 +176,13 @@ def export(members: DataFrame, header: DataFrame | None = None) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
 
 
-def meta(edges: DataFrame, first: Column, second: Column, kind: str) -> DataFrame:
-    """(id1, id2, type): pairs of edges that are related, from rows that name both; both must exist."""
-    return edges.select(first.alias("id1"), second.alias("id2"), F.lit(kind).alias("type")).filter("id1 is not null and id2 is not null")
+def meta(edges: DataFrame, first: Column, second: Column, kind: str, known: DataFrame | None = None) -> DataFrame:
+    """(id1, id2, type): pairs of edges that are related, from rows that name both; both must exist, in known (id) if that is given."""
+    pairs = edges.select(first.alias("id1"), second.alias("id2"), F.lit(kind).alias("type")).filter("id1 is not null and id2 is not null")
+    if known is not None:
+        for c in ("id1", "id2"):
+            pairs = pairs.join(known.select(F.col("id").alias(c)), c, "left_semi")
+    return pairs.select("id1", "id2", "type")
 
 
 def nth_in_group(rows: DataFrame, by: str, order: str) -> DataFrame:

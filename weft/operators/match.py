@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.scalars import jaccard
+from weft.plans.lineage import small, table
 
 
 @dataclass
@@ -20,6 +21,7 @@ class NodeSpec:
     where: Column | None = None
     min_degree: int | None = None
     max_degree: int | None = None
+    direction: str = "both"
 
 
 @dataclass
@@ -34,6 +36,8 @@ class EdgeSpec:
     where: Column | None = None
     directed: bool = True
     optional: bool = False
+    valid_at: object = None
+    min_confidence: float | None = None
 
 
 @dataclass
@@ -53,6 +57,12 @@ def _candidates(edges: DataFrame, e: EdgeSpec) -> DataFrame:
         parts.append(F.col("weight") <= e.max_weight)
     if e.where is not None:
         parts.append(e.where)
+    if e.valid_at is not None:
+        from weft.operators.temporal import valid_at
+
+        parts.append(valid_at(e.valid_at))
+    if e.min_confidence is not None:
+        parts.append(F.col("confidence") >= e.min_confidence)
     found = edges.filter(reduce(lambda a, b: a & b, parts)) if parts else edges
     found = found.select("src", "dst", "weight")
     return found if e.directed else found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -72,10 +82,31 @@ def ordered(pattern: Pattern) -> list[EdgeSpec]:
     return out
 
 
+def product(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """All pairs of rows, or (left) all of a with nulls where b is empty: what a pattern of parts that share nothing asks for.
+
+    The smaller side is broadcast if its size allows; else Spark deals blocks of both.
+    """
+    if small(b):
+        return a.join(F.broadcast(b), F.lit(True), how)
+    if how == "inner" and small(a):
+        return F.broadcast(a).join(b, F.lit(True))
+    return a.join(b, F.lit(True), how)
+
+
+def degree_between(edges: DataFrame, spec: NodeSpec, rows: DataFrame) -> DataFrame:
+    """Rows whose node (alias) has a degree in bounds, counted by direction; a node without edges has degree 0."""
+    ends = {"out": F.array("src"), "in": F.array("dst"), "both": F.array("src", "dst")}[spec.direction]
+    degree = edges.select(F.explode(ends).alias(spec.alias)).groupBy(spec.alias).agg(F.count("*").alias("_d"))
+    low, high = spec.min_degree or 0, 2**62 if spec.max_degree is None else spec.max_degree
+    return rows.join(degree, spec.alias, "left").filter(F.coalesce("_d", F.lit(0)).between(low, high)).drop("_d")
+
+
 def match(edges: DataFrame, pattern: Pattern, nodes: DataFrame | None = None, sources: dict[str, DataFrame] | None = None) -> DataFrame:
     """A column for each alias and w1, w2, ... for the edges' weights, in the pattern's order of edges.
 
     sources: edges by type, where each type has a view of its own, so that only what the pattern asks for is scanned.
+    Nodes that no edge names are bound to all nodes that their filters keep.
     """
     numbers = {id(e): i + 1 for i, e in enumerate(pattern.edges)}
     filters = {n.alias: n for n in pattern.nodes if nodes is not None and n.where is not None}
@@ -98,15 +129,20 @@ def match(edges: DataFrame, pattern: Pattern, nodes: DataFrame | None = None, so
             out = out.join(step, reduce(lambda a, b: a & b, met, F.lit(True)), "left").drop(*[f"_{a}" for a in shared])
             differ = []
         else:
-            out = out.join(step, shared) if shared else out.crossJoin(step)
+            out = out.join(step, shared) if shared else product(out, step)
         for a, b in differ:
             out = out.filter(F.col(a) != F.col(b))
         bound += fresh
+    for n in pattern.nodes:
+        if n.alias not in bound and nodes is not None:
+            alone = (nodes if n.where is None else nodes.filter(n.where)).select(F.col("id").alias(n.alias))
+            out = alone if out is None else product(out, alone)
+            for b in bound if pattern.injective else []:
+                out = out.filter(F.col(n.alias) != F.col(b))
+            bound.append(n.alias)
     for n in pattern.nodes:
         if n.min_degree is not None or n.max_degree is not None:
-            degree = edges.groupBy("src").agg(F.count("*").alias("_d"))
-            keep = degree.filter(F.col("_d").between(n.min_degree or 0, n.max_degree or 2**62)).select(F.col("src").alias(n.alias))
-            out = out.join(keep, n.alias, "left_semi")
+            out = degree_between(edges, n, out)
     return out
 
 
@@ -121,6 +157,27 @@ def top(matches: DataFrame, score: str, ties: list[str], k: int = 1000) -> DataF
     return matches.orderBy(F.desc(score), *ties).limit(k)
 
 
+def cursor_of(score, key) -> str:
+    """A page's end as a text to give back: the score and key of its last row."""
+    import base64
+    import json
+
+    return base64.urlsafe_b64encode(json.dumps([score, key]).encode()).decode()
+
+
+def connection(rows: DataFrame, score: str, key: str, size: int, cursor: str | None = None) -> DataFrame:
+    """A page with total_count and has_next, by score descending, then key; cursor: where the page begins."""
+    import base64
+    import json
+
+    after = tuple(json.loads(base64.urlsafe_b64decode(cursor))) if cursor else None
+    n = rows.count()
+    page = table(page_after(rows, score, key, after, size + 1), "page")
+    more = page.count() > size
+    shown = top(page, score, [key], size)
+    return shown.withColumns({"total_count": F.lit(n).cast("long"), "has_next": F.lit(more)})
+
+
 def page_after(rows: DataFrame, score: str, key: str, after: tuple | None, size: int) -> DataFrame:
     """The next page of rows by score descending, then key; after: the last page's last (score, key)."""
     if after is not None:
@@ -162,8 +219,6 @@ def without_similar(matches: DataFrame, aliases: list[str], score: str, least: f
     alike in some set of as many aliases as that takes, so no pairs are made: in rounds, those that are the best in all of
     their groups by such a set stay, and all others in these groups go.
     """
-    from weft.plans.lineage import table
-
     need = next((n for n in range(1, len(aliases) + 1) if n >= least * len(aliases)), None)
     if need is None:
         return matches
@@ -242,13 +297,86 @@ def color_classes(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 
 def motifs(edges: DataFrame, size: int) -> DataFrame:
-    """(kind, n) of connected motifs of 3 nodes: open wedges and triangles."""
-    if size != 3:
-        raise ValueError("motifs of three nodes are counted; larger ones are patterns for match()")
-    t = triangles(edges).agg(F.count("*").alias("t"))
-    w = wedge_counts(edges).agg(F.coalesce(F.sum("wedges"), F.lit(0)).alias("w"))
-    both = t.join(w, F.lit(True))  # two tables of one row
-    return both.select(F.explode(F.array(F.struct(F.lit("triangle").alias("kind"), F.col("t").alias("n")), F.struct(F.lit("wedge").alias("kind"), (F.col("w") - 3 * F.col("t")).alias("n")))).alias("m")).select("m.kind", "m.n")
+    """(kind, n) of connected induced motifs of 3 or 4 nodes.
+
+    Of 4: counts of what is there with or without more edges, from degrees, triangles at nodes and edges, and common
+    neighbours, are solved for the six kinds.
+    """
+    if size not in (3, 4):
+        raise ValueError("motifs of three or four nodes are counted; larger ones are patterns for match()")
+    found = table(triangles(edges), "triangles")
+    t = found.count()
+    if size == 3:
+        w = wedge_counts(edges).agg(F.coalesce(F.sum("wedges"), F.lit(0))).first()[0]
+        rows = [("triangle", t), ("wedge", w - 3 * t)]
+        return edges.sparkSession.createDataFrame(rows, "kind string, n long")
+    e = table(canonical(edges), "simple")
+    d = table(e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d")), "degrees")
+    one = lambda df, c: int(df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)")).first()[0])
+    x = F.col("d")
+    stars = one(d, (x * (x - 1) * (x - 2) / 6).cast("long"))
+    at = lambda c: d.select(F.col("v").alias(c), F.col("d").alias(f"{c}_d"))
+    paths = one(e.join(at("a"), "a").join(at("b"), "b"), (F.col("a_d") - 1) * (F.col("b_d") - 1)) - 3 * t
+    each = found.select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count("*").alias("t"))
+    paws = one(each.join(d, "v"), F.col("t") * (F.col("d") - 2))
+    pair = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"))
+    at_edge = found.select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).groupBy("e").agg(F.count("*").alias("t"))
+    diamonds = one(at_edge, F.col("t") * (F.col("t") - 1) / 2)
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    wedge = both.select(F.col("a").alias("m"), F.col("b").alias("p")).join(both.select(F.col("a").alias("m"), F.col("b").alias("q")), "m").filter("p < q").groupBy("p", "q").agg(F.count("*").alias("n"))
+    cycles = one(wedge, F.col("n") * (F.col("n") - 1) / 2) // 2
+    more = found.select("a", "b", F.col("c").alias("x")).join(found.select("a", "b", F.col("c").alias("y")), ["a", "b"]).filter("x < y")
+    cliques = more.join(e.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).count()
+    diamond = diamonds - 6 * cliques
+    cycle = cycles - diamond - 3 * cliques
+    paw = paws - 4 * diamond - 12 * cliques
+    star = stars - paw - 2 * diamond - 4 * cliques
+    path = paths - 4 * cycle - 2 * paw - 6 * diamond - 12 * cliques
+    rows = [("clique", cliques), ("diamond", diamond), ("cycle", cycle), ("paw", paw), ("star", star), ("path", path)]
+    return edges.sparkSession.createDataFrame(rows, "kind string, n long")
+
+
+def refined(edges: DataFrame, colors: DataFrame, rounds: int) -> DataFrame:
+    """(node, color) after some rounds in which a colour takes in those of the neighbours, or until no class is parted any more."""
+    e = canonical(edges)
+    e = table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "iso-edges")
+    n = colors.select("color").distinct().count()
+    for _ in range(rounds):
+        near = e.join(colors.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sort_array(F.collect_list("color")).alias("near"))
+        colors = table(colors.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.xxhash64("color", "near").alias("color")), "iso-colors")
+        now = colors.select("color").distinct().count()
+        if now == n:
+            break
+        n = now
+    return colors
+
+
+def isomorphic(a: DataFrame, b: DataFrame, rounds: int = 1_000_000) -> bool:
+    """Whether two undirected simple graphs are the same but for their nodes' names.
+
+    Colours are refined in both alike. Where all classes have one node the edges are compared by colour; else a node of the
+    smallest other class is given a colour of its own, and each of its partners in turn.
+    """
+    start = lambda g: canonical(g).select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("color", F.lit(0).cast("long"))
+
+    def same(x: DataFrame, y: DataFrame) -> bool:
+        x, y = refined(a, x, rounds), refined(b, y, rounds)
+        count = lambda c: c.groupBy("color").agg(F.count("*").alias("n"))
+        classes = table(count(x), "iso-classes")
+        if not classes.exceptAll(count(y)).isEmpty() or not count(y).exceptAll(classes).isEmpty():
+            return False
+        split = classes.filter("n > 1").orderBy("n", "color").first()
+        if split is None:
+            by = lambda g, c: canonical(g).join(c.select(F.col("node").alias("a"), F.col("color").alias("x")), "a").join(c.select(F.col("node").alias("b"), F.col("color").alias("y")), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            return by(a, x).exceptAll(by(b, y)).isEmpty() and by(b, y).exceptAll(by(a, x)).isEmpty()
+        own = lambda c, v: c.withColumn("color", F.when(F.col("node") == v, F.xxhash64("color", F.lit("own"))).otherwise(F.col("color")))
+        one = x.filter(F.col("color") == split["color"]).agg(F.min("node")).first()[0]
+        partners = [r["node"] for r in y.filter(F.col("color") == split["color"]).orderBy("node").collect()]  # of the smallest class
+        return any(same(own(x, one), own(y, v)) for v in partners)
+
+    if canonical(a).count() != canonical(b).count():
+        return False
+    return same(start(a), start(b))
 
 
 def all_different(aliases: list[str]) -> Column:

@@ -70,19 +70,35 @@ def timeline(facts: DataFrame, by: list[str], value: str, start: str = "valid_fr
     return facts.withColumns({"nth": F.row_number().over(w), "previous": F.lag(value).over(w)})
 
 
+def bounded(rows: DataFrame, bounds: DataFrame, on: list[str], start: str, end: str) -> DataFrame:
+    """rows with open ends put at their key's bounds (low, high); the others as they are."""
+    open_ = F.col(start).isNull() | F.col(end).isNull()
+    met = rows.filter(open_).join(bounds, on)
+    closed = met.withColumns({start: F.coalesce(start, F.least("_low", end)), end: F.coalesce(end, F.greatest("_high", start))}).select(*rows.columns)
+    return rows.filter(~open_).unionByName(closed)
+
+
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], days: int = 30, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Pairs with equal `on` whose closed intervals overlap, each once; b's other columns get the prefix b_.
+    """Pairs with equal `on` whose closed intervals overlap, each once; b's other columns get the prefix b_. Null ends are open.
 
     Intervals are cut into the periods of some days that they touch, so the join is on equal keys and period; a pair is
-    kept in the later of its two first periods. Intervals must have both ends.
+    kept in the later of its two first periods. For that an open end is put at the first or last time of its key on
+    either side, beyond which nothing is to be met; intervals that end before they begin are left out.
     """
     number = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (86400 * days))
     cut = lambda df, s, e: df.withColumn("_period", F.explode(F.sequence(number(F.col(s)), number(F.col(e)))))
-    left = cut(a.filter(F.col(start) <= F.col(end)), start, end)
-    right = b.filter(F.col(start) <= F.col(end)).select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
-    right = cut(right, f"b_{start}", f"b_{end}")
-    met = left.join(right, [*on, "_period"]).filter((F.col(start) <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(end)))
-    return met.filter(F.col("_period") == F.greatest(number(F.col(start)), number(F.col(f"b_{start}")))).drop("_period")
+    times = a.select(*on, start, end).unionByName(b.select(*on, start, end))
+    some = F.array_compact(F.array(start, end))
+    bounds = times.select(*on, F.array_min(some).alias("_low"), F.array_max(some).alias("_high")).groupBy(*on).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    never = F.lit("1970-01-01").cast(a.schema[start].dataType)  # of keys without any time all is open
+    bounds = bounds.withColumns({"_low": F.coalesce("_low", never), "_high": F.coalesce("_high", never)})
+    marked = lambda df: df.withColumns({"_start": F.col(start), "_end": F.col(end)})
+    left = bounded(marked(a), bounds, on, "_start", "_end").filter(F.col("_start") <= F.col("_end"))
+    right = bounded(marked(b), bounds, on, "_start", "_end").filter(F.col("_start") <= F.col("_end"))
+    right = right.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on], F.col("_start").alias("_b_start"), F.col("_end").alias("_b_end"))
+    met = cut(left, "_start", "_end").join(cut(right, "_b_start", "_b_end"), [*on, "_period"])
+    met = met.filter((F.col("_start") <= F.col("_b_end")) & (F.col("_b_start") <= F.col("_end")))
+    return met.filter(F.col("_period") == F.greatest(number(F.col("_start")), number(F.col("_b_start")))).drop("_period", "_start", "_end", "_b_start", "_b_end")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, values: list[str], tie: str | None = None) -> DataFrame:
@@ -131,6 +147,21 @@ def versions(rows: DataFrame, key: list[str], created: str, tie: str) -> DataFra
     return rows.withColumns({"version": F.row_number().over(w), "valid_from": F.col(created), "valid_to": F.lead(created).over(w)})
 
 
+def version_links(rows: DataFrame, key: list[str], created: str, tie: str) -> DataFrame:
+    """(src, dst, type): each version and the one before it, PREVIOUS_VERSION."""
+    w = Window.partitionBy(*key).orderBy(created, tie)
+    return rows.select(F.col(tie).alias("src"), F.lag(tie).over(w).alias("dst"), F.lit("PREVIOUS_VERSION").alias("type")).filter("dst is not null")
+
+
+def predicted(events: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:
+    """(by, n, last, next): when a key's next event is due, its last one and the mean gap between its events."""
+    w = Window.partitionBy(*by).orderBy(time, tie)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    gaps = events.withColumn("_t", micros).withColumn("_gap", micros - F.lag(micros).over(w))
+    out = gaps.groupBy(*by).agg(F.count("*").alias("n"), F.max("_t").alias("_last"), F.avg("_gap").alias("_mean"))
+    return out.select(*by, "n", F.timestamp_micros("_last").alias("last"), F.timestamp_micros((F.col("_last") + F.round("_mean")).cast("long")).alias("next"))
+
+
 def version_as_of(rows: DataFrame, key: list[str], created: str, tie: str, t) -> DataFrame:
     """Of each key the last row created at or before a time, without sorting: one aggregate."""
     known = rows.filter(F.col(created) <= _t(t))

@@ -99,7 +99,7 @@ def merge_entities(rows: DataFrame, least: float = 0.9) -> DataFrame:
     alike = similar_texts(reps, "id", "_n", least).join(reps.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(reps.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b").filter("ta = tb")
     linked = connected_components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")), reps.select(F.col("id").alias("node")))
     whole = named.join(first, ["type", "_n"]).join(linked.select(F.col("node").alias("rep"), F.col("component").alias("entity")), "rep")
-    attrs = whole.select("entity", "confidence", "id", F.explode("attributes").alias("k", "v")).groupBy("entity", "k").agg(F.max_by("v", F.struct("confidence", -F.col("id"))).alias("v"))
+    attrs = whole.select("entity", "confidence", "id", F.explode("attributes").alias("k", "v")).groupBy("entity", "k").agg(F.min_by("v", F.struct((-F.col("confidence")).alias("c"), "id")).alias("v"))
     maps = attrs.groupBy("entity").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attributes"))
     out = whole.groupBy("entity").agg(F.sort_array(F.collect_set("name")).alias("names"), F.max("confidence").alias("confidence"))
     return out.join(maps, "entity", "left")
@@ -125,10 +125,11 @@ def expected_values(alternatives: DataFrame, by: list[str], value: str, probabil
 
 
 def observe(alternatives: DataFrame, by: list[str], value: str, probability: str, seed: int = 7) -> DataFrame:
-    """One alternative of each group, drawn with its probability; the draw depends on seed and group alone."""
+    """One alternative of each group, drawn with its probability; the draw depends on seed and group alone. Values of a group differ."""
     w = Window.partitionBy(*by).orderBy(value)
     upto = F.sum(probability).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(probability).over(Window.partitionBy(*by))
-    u = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") / float(1 << 28)
     return alternatives.withColumns({"_upto": upto, "_u": u}).filter("_u < _upto").groupBy(*by).agg(F.min_by(value, "_upto").alias(value))
 
 
@@ -144,7 +145,49 @@ def federated_average(parts: DataFrame, by: list[str], value: str, weight: str)
 
 
 def provenance(rows: DataFrame, by: list[str], order: str, content: str) -> DataFrame:
-    """Rows with chain: the digest of all digests up to the row, along the order."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """Rows with chain: each row's digest is over the chain before it and its own digest, along the order.
+
+    A chain is one sequence: it is carried along, a value a row, not gathered again for each.
+    """
     own = F.sha2(F.col(content).cast("string").cast("binary"), 256)
-    return rows.withColumn("chain", F.sha2(F.array_join(F.collect_list(own).over(w), "").cast("binary"), 256))
+    listed = rows.withColumn("_own", own).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*[c for c in rows.columns if c not in by]).alias("_row"), "_own"))).alias("_all"))
+    empty = F.array().cast("array<string>")
+    chained = F.aggregate("_all", F.struct(F.lit("").alias("last"), empty.alias("out")), lambda s, x: F.struct(F.sha2(F.concat(s["last"], x["_own"]).cast("binary"), 256).alias("last"), F.array_append(s["out"], F.sha2(F.concat(s["last"], x["_own"]).cast("binary"), 256)).alias("out")))["out"]
+    each = listed.select(*by, F.explode(F.arrays_zip(F.col("_all._row").alias("r"), chained.alias("chain"))).alias("z"))
+    return each.select(*by, F.col("z.r.*"), F.col("z.chain").alias("chain")).select(*rows.columns, "chain")
+
+
+def trust(rows: DataFrame, by: str, good: Column, prior: float = 1.0) -> DataFrame:
+    """(by, trust, n): the share of good outcomes, drawn towards a half by a prior."""
+    return rows.groupBy(by).agg(((F.count_if(good) + prior) / (F.count("*") + 2 * prior)).alias("trust"), F.count("*").alias("n"))
+
+
+def blinded_intersection(a: DataFrame, b: DataFrame, key: str, salt: str) -> DataFrame:
+    """(token): digests, under a salt that both sides share, of the keys that both have; neither gives its keys away."""
+    token = F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")).cast("binary"), 256).alias("token")
+    return a.select(token).distinct().join(b.select(token).distinct(), "token")
+
+
+def chunks(docs: DataFrame, key: str, text: str, words: int = 200, overlap: int = 20) -> DataFrame:
+    """(key, chunk, n_words, content): texts in pieces of so many words, each beginning with the last ones of the one before."""
+    w = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), "")
+    step = words - overlap
+    cut = docs.select(key, w.alias("_w")).filter(F.size("_w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("_w") - words) / step)).cast("int"))
+    each = cut.select(key, "_w", F.explode(starts).alias("chunk"))
+    piece = F.slice("_w", F.col("chunk") * step + 1, F.lit(words))
+    return each.select(key, "chunk", F.size(piece).alias("n_words"), F.array_join(piece, " ").alias("content"))
+
+
+def crossover(a: DataFrame, b: DataFrame, seed: str = "cross") -> DataFrame:
+    """(src, dst): a graph bred from two: an edge of both is kept, one of a single parent if a seeded draw falls to it."""
+    sides = a.select("src", "dst").distinct().withColumn("p", F.lit(1)).unionByName(b.select("src", "dst").distinct().withColumn("p", F.lit(2)))
+    met = sides.groupBy("src", "dst").agg(F.sum("p").alias("p"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("src").cast("string"), F.col("dst").cast("string")).cast("binary")), 1, 1), 16, 10).cast("int")
+    return met.filter((F.col("p") == 3) | ((F.col("p") == 1) & (draw < 8)) | ((F.col("p") == 2) & (draw >= 8))).select("src", "dst")
+
+
+def mutated(edges: DataFrame, share: float, seed: str = "mutate") -> DataFrame:
+    """(src, dst): without a seeded share of the edges."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("src").cast("string"), F.col("dst").cast("string")).cast("binary")), 1, 4), 16, 10).cast("int") / 65536
+    return edges.filter(draw >= share).select("src", "dst")

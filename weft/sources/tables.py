@@ -75,15 +75,15 @@ def graph(spark: SparkSession, sf_dir: str, node_types: tuple = (), edge_types:
     return Graph(nodes(spark, sf_dir, *node_types), edges(spark, sf_dir, *edge_types))
 
 
-def baskets(spark: SparkSession, sf_dir: str, member: str = "l_partkey", least: float = 30) -> DataFrame:
-    """(hid, node): orders as hyperedges over the distinct members of their lines of at least so many pieces."""
-    lines = read(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= least)
+def baskets(spark: SparkSession, sf_dir: str, member: str = "l_partkey") -> DataFrame:
+    """(hid, node): orders as hyperedges over the distinct members of their lines."""
+    lines = read(spark, sf_dir, "lineitem")
     return lines.select(F.col("l_orderkey").alias("hid"), F.col(member).alias("node")).distinct()
 
 
-def basket_graph(spark: SparkSession, sf_dir: str, member: str = "l_partkey", least: float = 30) -> DataFrame:
+def basket_graph(spark: SparkSession, sf_dir: str, member: str = "l_partkey") -> DataFrame:
     """(src, dst, weight): members that share an order, src < dst, weighted by the number of orders. Orders are short."""
-    b = baskets(spark, sf_dir, member, least)
+    b = baskets(spark, sf_dir, member)
     pairs = b.select("hid", F.col("node").alias("src")).join(b.select("hid", F.col("node").alias("dst")), "hid").filter("src < dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
@@ -113,3 +113,27 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         said = F.array(*(F.struct(F.lit(c[2:]).alias("p"), (node_id(to[c], c) if c in to else F.col(c)).alias("o")) for c in columns))
         parts.append(read(spark, sf_dir, name).select(node_id(letter, key).alias("s"), F.explode(said).alias("x")).select("s", "x.p", "x.o"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def partitioned(edges: DataFrame, how: str, n: int, cuts: list | None = None) -> DataFrame:
+    """edges with shard: hash (of src), range (of src, by the bounds in cuts), edge-cut (src and dst each keep the edge: a row for
+    each of their shards), vertex-cut (of both ends together), hybrid (of dst, where few edges end there, else of src)."""
+    place = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(x).cast("string") for x in c]).cast("binary")), 1, 8), 16, 10).cast("long") % n
+    if how == "hash":
+        return edges.withColumn("shard", place("src"))
+    if how == "range":
+        return edges.withColumn("shard", sum((F.when(F.col("src") >= c, 1).otherwise(0) for c in cuts or []), F.lit(0)).cast("long"))
+    if how == "edge-cut":
+        return edges.withColumn("shard", F.explode(F.array_distinct(F.array(place("src"), place("dst")))))
+    if how == "vertex-cut":
+        return edges.withColumn("shard", place("src", "dst"))
+    many = edges.groupBy("dst").agg(F.count("*").alias("_n"))
+    return edges.join(many, "dst").withColumn("shard", F.when(F.col("_n") <= 100, place("dst")).otherwise(place("src"))).drop("_n")
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(src, first, degree, targets): compressed rows: where a node's edges begin in the order of all, their number, their ends."""
+    from weft.operators.aggregate import numbered
+
+    e = numbered(edges.select("src", "dst").distinct(), [F.asc("src"), F.asc("dst")], "at")
+    return e.groupBy("src").agg((F.min("at") - 1).alias("first"), F.count("*").alias("degree"), F.sort_array(F.collect_list("dst")).alias("targets"))

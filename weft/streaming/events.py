@@ -83,3 +83,32 @@ def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataF
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def change_events(before: DataFrame, after: DataFrame, key: str, kind: str = "node") -> DataFrame:
+    """(key, event): what has been created, updated or deleted from one state to the next."""
+    rest = [c for c in before.columns if c != key]
+    side = lambda df, name: df.select(key, F.struct(*rest).alias(name))
+    met = side(before, "a").join(side(after, "z"), key, "full_outer")
+    event = F.when(F.col("a").isNull(), "created").when(F.col("z").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("z")), "updated")
+    return met.select(key, F.concat(F.lit(f"{kind}_"), event).alias("event")).filter("event is not null")
+
+
+def micro_batches(rows: DataFrame, by: str, time: str, tie: str, size: int, seconds: float) -> DataFrame:
+    """(by, tie, batch): rows of a buffer by key, in order of time; a batch ends when it is full, or so long after its first row."""
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    each = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(tie).alias("i")))).alias("all"))
+    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("first"), F.lit(size).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, x):
+        fresh = (s["n"] >= size) | (x["t"] - s["first"] >= int(seconds * 1_000_000))
+        batch = F.when(fresh, s["batch"] + 1).otherwise(s["batch"])
+        return F.struct(batch.alias("batch"), F.when(fresh, x["t"]).otherwise(s["first"]).alias("first"), F.when(fresh, F.lit(1)).otherwise(s["n"] + 1).alias("n"), F.array_append(s["out"], batch).alias("out"))
+
+    numbered = F.aggregate("all", start, step)["out"]
+    return each.select(by, F.explode(F.arrays_zip(F.col("all.i").alias("i"), numbered.alias("batch"))).alias("z")).select(by, F.col("z.i").alias(tie), F.col("z.batch").alias("batch"))
+
+
+def each_batch(rows: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hands a stream's rows over batch by batch; a batch that is run again has the same number."""
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
