@@ -1,10 +1,10 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. build_index() writes one list for each word
-and shard of BLOCK documents, (term, shard, n, places), dealt by the hash of both and ordered by the word in each file; a
-place is the document's number in its shard and the word's number in it, in one long. Lists are put together where the
-documents are read, and only lists are shuffled. The list without a word heads a shard: its documents with their ids,
-word counts and marks. A word that a third of the corpus says has a list of its own in every shard, so no list is hot.
+and shard of 2^BLOCK_BITS documents, (term, shard, n, places), ordered by the word in each file; a place is the document's
+number in its shard and the word's number in it, in one long. Documents are dealt to their shards, once, and their lists are
+put together there; postings are not shuffled. A row without a word heads each document: its id, word count and mark. A word
+that a third of the corpus says has a list of its own in every shard, so no list is hot.
 
 phrase_matches() looks test items up. Frequencies come from the lists' lengths alone. In every window of an item its two
 rarest terms are anchors; only their lists are opened, and with the place in the item subtracted they meet in diagonals.
@@ -34,7 +34,7 @@ BLOCK_BITS, PLACE_BITS = 12, 48
 #: Words of an item that are looked at together.
 STRETCH = 1000
 #: Rows up to which what grows with the benchmark, and with the corpus, is broadcast (and both up to a size in bytes).
-MOST_BROADCAST, MOST_FOUND = 400_000, 20_000
+MOST_BROADCAST, MOST_FOUND = 400_000, 400_000
 
 
 def pieces(text: str) -> Column:
@@ -49,16 +49,19 @@ def lowered(word: str) -> Column:
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index as a written table: (term, shard, head, n, places); a row without a term for each document, with its head."""
-    row = F.monotonically_increasing_id()
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), pieces(text).alias("words"), row.alias("row"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # A task's documents are numbered from its number times 2^33; its shards go to different tasks.
+    part = F.pmod(F.shiftright("row", 33) + F.shiftright("row", BLOCK_BITS).bitwiseAND((1 << 33 - BLOCK_BITS) - 1) * 7919, F.lit(parts))
+    dealt = given.withColumn("part", part.cast("int")).repartitionById(parts, F.col("part"))
     at = F.shiftleft(F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1), PLACE_BITS)
-    rows = rows.select(F.shiftright("row", BLOCK_BITS).alias("shard"), at.alias("at"), "doc", "mark", "words")
+    rows = dealt.select("part", F.shiftright("row", BLOCK_BITS).alias("shard"), at.alias("at"), "doc", F.xxhash64("text").alias("mark"), pieces("text").alias("words"))
     head = F.struct("at", "doc", F.size("words").cast("long").alias("n_words"), "mark")
-    placed = rows.select("shard", "at", head.alias("head"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("pos", "word"))
-    posted = placed.select("shard", lowered("word").alias("term"), (F.col("at") + F.col("pos")).alias("place"), F.when(F.col("pos") == 0, F.col("head")).alias("head"))
+    placed = rows.select("part", "shard", "at", head.alias("head"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("pos", "word"))
+    posted = placed.select("part", "shard", lowered("word").alias("term"), (F.col("at") + F.col("pos")).alias("place"), F.when(F.col("pos") == 0, F.col("head")).alias("head"))
     # Sorted, not hashed: a task has too many words to hold a list of each at a time.
     with session_conf(docs.sparkSession, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):
-        lists = posted.groupBy("term", "shard", "head").agg(F.collect_list("place").alias("places"))
+        lists = posted.groupBy("term", "shard", "part", "head").agg(F.collect_list("place").alias("places"))
         return table(lists.select("term", "shard", "head", F.size("places").alias("n"), "places"), "index")
 
 
@@ -160,7 +163,8 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int = SLOP, key:
         left = table(left, "near")
         some = terms.filter(F.col("nth").between(low, high)).select("item", "term")
         asking = table(left.join(broadcast_if_small(table(some, "near-terms"), MOST_BROADCAST), "item", "left").select("shard", "item", "id", "of", "p", "term", around), "asking")
-        listed = lists_of(index).join(broadcast_if_small(asking, MOST_FOUND).select("term", "shard"), ["term", "shard"], "left_semi")
+        listed = lists_of(index).join(broadcast_if_small(terms, MOST_BROADCAST).select("term"), "term", "left_semi")
+        listed = listed.join(broadcast_if_small(asking, MOST_FOUND).select("term", "shard"), ["term", "shard"], "left_semi")
         listed = listed.select("term", "shard", F.explode("places").alias("place")).withColumn("bucket", bucket(F.col("place")))
         met = listed.join(broadcast_if_small(asking, MOST_FOUND), ["shard", "term", "bucket"])
         met = met.filter((F.abs(F.col("place") - F.col("p")) <= slop) & (F.shiftright("place", PLACE_BITS) == F.shiftright("p", PLACE_BITS)))
