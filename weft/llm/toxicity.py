@@ -128,7 +128,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int
     share, right = np.ones(votes.shape[1]), np.array([LABEL_RIGHT, LABEL_RIGHT])  # of toxic, of other labels
     for r in range(rounds):
         both = np.stack([1 - q, q])
-        fire = (both @ votes + 0.1) / (both.sum(1, keepdims=True) + 0.2)  # by class: chance to fire
+        fire = ((both.astype(np.float32) @ votes).astype(float) + 0.1) / (both.sum(1, keepdims=True) + 0.2)  # by class: chance to fire
         right = np.array([(q @ labels + 5) / (q.sum() + 5.5), ((1 - q) @ (1 - labels) + 5) / ((1 - q).sum() + 5.5)])
         if r == 5 or r == 15:  # correlation of what the label doesn't explain
             rest = votes - (both.T @ fire).astype(np.float32)
@@ -138,7 +138,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int
                 c = np.abs(rest.T @ rest[:, i : i + STRIP]) / len(votes)
                 share[i : i + STRIP] = 1 / np.where(c >= CORRELATED, c, 0).sum(0).clip(1)
         on, off = np.log(fire[1] / fire[0]) * share, np.log((1 - fire[1]) / (1 - fire[0])) * share
-        odds = np.log(prior / (1 - prior)) + votes @ (on - off) + off.sum()
+        odds = np.log(prior / (1 - prior)) + (votes @ (on - off).astype(np.float32)).astype(float) + off.sum()
         odds += np.where(labels == 1, np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1]))
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return q, share
@@ -149,8 +149,8 @@ def regression(x: np.ndarray, q: np.ndarray, weight: np.ndarray, start: np.ndarr
     first, second = (np.zeros(x.shape[1] + 1) for _ in range(2))
     w = np.append(start, -3.0)
     for t in range(1, rounds + 1):
-        d = weight * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - q)
-        g = np.append(x.T @ d / weight.sum() + penalty * (w[:-1] - start), d.sum() / weight.sum())
+        d = weight * (1 / (1 + np.exp(-((x @ w[:-1].astype(np.float32)).astype(float) + w[-1]))) - q)
+        g = np.append((d.astype(np.float32) @ x).astype(float) / weight.sum() + penalty * (w[:-1] - start), d.sum() / weight.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return w[:-1], float(w[-1])
