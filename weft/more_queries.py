@@ -24,7 +24,7 @@ from weft.plans.datalog import Program
 from weft.plans.language import Knowledge
 from weft.plans.lineage import broadcast_if_small, shared_path, table
 from weft.plans.store import Store
-from weft.queries import BOTH, FACTS, TRIPLES, _META, _meta, _NODES, _orders_as_edges, _relaxed, _UW, one, part_graph, parts, supplier_graph, suppliers
+from weft.queries import BOTH, FACTS, TRIPLES, _META, _meta, _NODES, _orders_as_edges, _relaxed, _UW, one, part_graph, part_pairs, parts, supplier_graph, suppliers
 from weft.registry import query
 from weft.sources import formats
 from weft.sources import tables as G
@@ -266,7 +266,7 @@ r1 AS (SELECT *, diamonds - 6 * k4 AS diamond FROM s), r2 AS (SELECT *, cycles -
 SELECT 'clique' AS kind, k4::BIGINT AS n FROM r2 UNION ALL SELECT 'diamond', diamond::BIGINT FROM r2 UNION ALL SELECT 'cycle', cycle::BIGINT FROM r2 UNION ALL SELECT 'paw', paw::BIGINT FROM r2
 UNION ALL SELECT 'star', (stars - paw - 2 * diamond - 4 * k4)::BIGINT FROM r2 UNION ALL SELECT 'path', (paths - 3 * t - 4 * cycle - 2 * paw - 6 * diamond - 12 * k4)::BIGINT FROM r2""")
 def motif_counts_4(spark: SparkSession, d: str) -> DataFrame:
-    return M.motifs(part_graph(spark, d), 4)
+    return M.motifs(part_pairs(spark, d), 4)
 
 
 @query("SELECT true AS same, false AS other")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.scalars import jaccard
+from weft.operators import cells
 from weft.plans.lineage import small, table
 
 
@@ -259,23 +260,9 @@ def canonical(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a < b").distinct()
 
 
-def oriented(edges: DataFrame) -> DataFrame:
-    """(x, y): each undirected edge once, from the end of lower degree: no node has more than the root of 2m followers."""
-    e = canonical(edges)
-    degree = e.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
-    e = e.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
-    low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    return e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"))
-
-
 def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c), a < b < c: wedges at the end of lower degree, closed by an edge."""
-    e = oriented(edges)
-    wedges = e.select("x", F.col("y").alias("u")).join(e.select("x", F.col("y").alias("v")), "x").filter("u < v")
-    closing = canonical(edges).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = wedges.join(closing, ["u", "v"])
-    s = F.sort_array(F.array("x", "u", "v"))
-    return found.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
+    """(a, b, c), a < b < c: paths from the end of lower degree, closed by an edge, found in cells: paths are not shuffled."""
+    return cells.triangles(edges)
 
 
 def wedge_counts(edges: DataFrame) -> DataFrame:
@@ -304,29 +291,18 @@ def motifs(edges: DataFrame, size: int) -> DataFrame:
     """
     if size not in (3, 4):
         raise ValueError("motifs of three or four nodes are counted; larger ones are patterns for match()")
-    found = table(triangles(edges), "triangles")
-    t = found.count()
+    one = lambda df, c: int(df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)")).first()[0])
+    ways = cells.oriented_cells(edges)
+    d, t, x = ways.degree, one(ways.run(cells.wholes, "n long"), "n"), F.col("j")
     if size == 3:
-        w = wedge_counts(edges).agg(F.coalesce(F.sum("wedges"), F.lit(0))).first()[0]
-        rows = [("triangle", t), ("wedge", w - 3 * t)]
+        rows = [("triangle", t), ("wedge", one(d, (x * (x - 1) / 2).cast("long")) - 3 * t)]
         return edges.sparkSession.createDataFrame(rows, "kind string, n long")
-    e = table(canonical(edges), "simple")
-    d = table(e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d")), "degrees")
-    one = lambda df, c: int(df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)")).first()[0])
-    x = F.col("d")
     stars = one(d, (x * (x - 1) * (x - 2) / 6).cast("long"))
-    at = lambda c: d.select(F.col("v").alias(c), F.col("d").alias(f"{c}_d"))
-    paths = one(e.join(at("a"), "a").join(at("b"), "b"), (F.col("a_d") - 1) * (F.col("b_d") - 1)) - 3 * t
-    each = found.select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count("*").alias("t"))
-    paws = one(each.join(d, "v"), F.col("t") * (F.col("d") - 2))
-    pair = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"))
-    at_edge = found.select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).groupBy("e").agg(F.count("*").alias("t"))
-    diamonds = one(at_edge, F.col("t") * (F.col("t") - 1) / 2)
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    wedge = both.select(F.col("a").alias("m"), F.col("b").alias("p")).join(both.select(F.col("a").alias("m"), F.col("b").alias("q")), "m").filter("p < q").groupBy("p", "q").agg(F.count("*").alias("n"))
-    cycles = one(wedge, F.col("n") * (F.col("n") - 1) / 2) // 2
-    more = found.select("a", "b", F.col("c").alias("x")).join(found.select("a", "b", F.col("c").alias("y")), ["a", "b"]).filter("x < y")
-    cliques = more.join(e.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).count()
+    paths = one(ways.run(cells.paths, "n long"), "n") - 3 * t
+    both = cells.write(ways.simple, ways.n, None, "both")
+    sums = table(both.run(cells.quads, "every long, edges long, paws long"), "quads")
+    cycles, diamonds, paws = one(sums, "every") // 2, one(sums, "edges"), one(sums, "paws") // 2
+    cliques = one(ways.run(cells.cliques, "n long"), "n")
     diamond = diamonds - 6 * cliques
     cycle = cycles - diamond - 3 * cliques
     paw = paws - 4 * diamond - 12 * cliques
