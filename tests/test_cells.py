@@ -91,7 +91,7 @@ def test_no_edges(spark):
     assert {r["n"] for r in M.motifs(e, 4).collect()} == {0}
 
 
-@pytest.mark.parametrize("name", ["triangle_pattern", "triangle_count"])
+@pytest.mark.parametrize("name", ["triangle_pattern", "triangle_count", "matrix_product", "structural_similarity"])
 def test_paths_are_not_joined(spark, name):
     assert "Join" not in plan(QUERIES[name](spark, DATA))
     assert "Join" not in plan(queries.part_pairs(spark, DATA))
