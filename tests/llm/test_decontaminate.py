@@ -103,3 +103,35 @@ def test_stage_keeps_clean_rows(spark, odd):
     kept = D.decontaminate(odd, i)
     assert kept.columns == odd.columns
     assert [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [None, 1, 2, 3, 5, 6]
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    jvm, none = sc._jvm, sc._gateway.new_array(sc._jvm.double, 0)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_lists_of_common_words_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(D, "MOST_FOUND", 1)  # as if more was found than is broadcast
+    docs = [(k, "the " * 400 + f"own{k}") for k in range(200)]
+    docs[50] = (50, "the " * 200 + "rare odd the few " + "the " * 200)
+    docs[51] = (51, "few the odd rare and the rest")
+    index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    items = spark.createDataFrame([(1, "rare odd few the")], "item_id long, text string")
+    before = shuffled(spark)
+    with D.session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = rows_of(D.proximity_matches(index, items), "id", "pos")
+    assert found == [(1, 1), (1, 204)]
+    assert shuffled(spark) - before < 5000  # of 80,000 places
+
+
+def test_proximity_in_every_document_of_a_shard(spark):
+    docs = [(k, f"{'x ' * (k % 131)}alpha {'y ' * (k % 50)}beta gamma") for k in range(4096)]
+    index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    items = spark.createDataFrame([(1, "gamma beta alpha")], "item_id long, text string")
+    out = D.contamination(index, items, slop=50)
+    near = {r["doc"] for r in out.filter("n_near = 1").collect()}
+    assert near == {k for k, t in docs if abs(t.split().index("alpha") - t.split().index("gamma")) <= 50 and abs(t.split().index("alpha") - t.split().index("beta")) <= 50}

@@ -11,7 +11,8 @@ rarest terms are anchors; only their lists are opened, and with the place in the
 Where enough lists meet, the lists of the other terms in that shard are intersected with the places that are asked for, and
 runs of consecutive matches as long as a window are returned: exact phrases, of all windows, whatever their number. Items
 shorter than a window match as a whole. proximity_matches() opens the lists of an item's two rarest terms one after the
-other, and the others only in the shards that are left.
+other, and the others only in the shards that are left. Of a list, only places in documents that are asked for are kept before
+it meets anything: these documents are one bit each, broadcast by shard, so lists of common words are not shuffled.
 
 What grows with the benchmark is broadcast where its size is checked, in rows and bytes; what grows with the corpus is
 shuffled beyond few rows. Null texts have no words. Null ids are ids like others, but a null item id is not counted among
@@ -136,12 +137,26 @@ def word_part(place: str) -> Column:
     return F.col(place).bitwiseAND((1 << PLACE_BITS) - 1)
 
 
+def in_documents(lists: DataFrame, asked: DataFrame, place: str) -> DataFrame:
+    """lists with only the places that are in a document of a place asked for, of a written table; others are left out."""
+    number = F.shiftright(place, PLACE_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
+    words = asked.groupBy("shard", F.shiftright(number, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = words.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    each = F.transform(F.sequence(F.lit(0), F.lit((1 << max(BLOCK_BITS - 6, 0)) - 1)), lambda w: F.coalesce(F.col("words")[w], F.lit(0).cast("long")))
+    bits = table(words.select("shard", each.alias("bits")), "asked-bits")
+    has = lambda p: F.getbit(F.get("bits", F.shiftright(p, PLACE_BITS + 6).cast("int")), F.shiftright(p, PLACE_BITS).bitwiseAND(63).cast("int")) == 1
+    left = lists.join(broadcast_if_small(bits, MOST_FOUND), "shard").withColumn("places", F.filter("places", has))
+    return left.filter(F.size("places") > 0).select(*lists.columns)
+
+
 def intersected(index: DataFrame, terms: DataFrame, wanted: DataFrame) -> DataFrame:
     """(shard, term, place): places of wanted that a list has; a list is only opened where its shard's is asked for."""
     asked = table(wanted.groupBy("shard", "term").agg(F.collect_set("place").alias("asked")), "asked")
     lists = lists_of(index).select("term", "shard", "places")
-    if not small(asked, MOST_FOUND):  # only lists of the items' terms are shuffled
+    if not small(asked, MOST_FOUND):  # only lists of the items' terms are shuffled, and of them what is in documents asked for
         lists = lists.join(broadcast_if_small(terms, MOST_BROADCAST).select("term"), "term", "left_semi")
+        lists = in_documents(lists, wanted, "place")
     met = lists.join(broadcast_if_small(asked, MOST_FOUND), ["term", "shard"])
     return met.select("shard", "term", F.explode(F.array_intersect("places", "asked")).alias("place"))
 
@@ -156,18 +171,19 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int = SLOP, key:
     known = with_frequency(index, once).withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("frequency", "term")))
     whole = known.groupBy("item").agg(F.count("*").alias("of")).join(once.groupBy("item").agg(F.count("*").alias("of")), ["item", "of"])
     terms = table(known.join(whole, "item").select("item", "id", "term", "nth", "of"), "near-terms")
-    bucket = lambda place: F.floor(place / (slop + 1))
-    around = F.explode(F.array(bucket(F.col("p")) - 1, bucket(F.col("p")), bucket(F.col("p")) + 1)).alias("bucket")
+    wide = slop + 1
+    bucket = lambda place: place - place % wide  # noqa: E731  (no division: places need more bits than a double has)
+    around = F.explode(F.array(bucket(F.col("p")) - wide, bucket(F.col("p")), bucket(F.col("p")) + wide)).alias("bucket")
     left = opened(index, table(terms.filter("nth = 1"), "near-terms")).select("shard", "item", "id", "of", F.col("place").alias("p"))
     for low, high in (2, 2), (3, 2**31 - 1):
         left = table(left, "near")
-        some = terms.filter(F.col("nth").between(low, high)).select("item", "term")
-        asking = table(left.join(broadcast_if_small(table(some, "near-terms"), MOST_BROADCAST), "item", "left").select("shard", "item", "id", "of", "p", "term", around), "asking")
-        listed = lists_of(index).join(broadcast_if_small(terms, MOST_BROADCAST).select("term"), "term", "left_semi")
-        listed = listed.join(broadcast_if_small(asking, MOST_FOUND).select("term", "shard"), ["term", "shard"], "left_semi")
+        some = broadcast_if_small(table(terms.filter(F.col("nth").between(low, high)).select("item", "term"), "near-terms"), MOST_BROADCAST)
+        asking = table(left.select("shard", "item", "id", "of", "p", around), "asking")
+        listed = in_documents(lists_of(index).select("term", "shard", "places").join(some.select("term"), "term", "left_semi"), left, "p")
         listed = listed.select("term", "shard", F.explode("places").alias("place")).withColumn("bucket", bucket(F.col("place")))
-        met = listed.join(broadcast_if_small(asking, MOST_FOUND), ["shard", "term", "bucket"])
+        met = listed.join(broadcast_if_small(asking, MOST_FOUND), ["shard", "bucket"])
         met = met.filter((F.abs(F.col("place") - F.col("p")) <= slop) & (F.shiftright("place", PLACE_BITS) == F.shiftright("p", PLACE_BITS)))
+        met = met.join(some, ["item", "term"], "left_semi")
         per = met.groupBy("shard", "item", "p").agg(F.first("id").alias("id"), F.first("of").alias("of"), F.countDistinct("term").alias("n"))
         done = left.filter(F.col("of") < low)  # items with fewer terms
         left = per.filter(F.col("n") == F.least(F.lit(high), "of") - (low - 1)).select("shard", "item", "id", "of", "p").unionByName(done.select("shard", "item", "id", "of", "p"))
