@@ -95,3 +95,22 @@ def test_no_edges(spark):
 def test_paths_are_not_joined(spark, name):
     assert "Join" not in plan(QUERIES[name](spark, DATA))
     assert "Join" not in plan(queries.part_pairs(spark, DATA))
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none, empty = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(empty, False, False, none, empty)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_louvain_shuffles_no_edges(spark):
+    groups = [(10 * a, 10 * a + 500) for a in range(4)]
+    edges = [(a, b, 1.0) for lo, hi in groups for a, b in itertools.combinations([*range(lo, lo + 10), *range(hi, hi + 10)], 2)] + [(0, 10, 0.5), (20, 30, 0.5)]
+    e = spark.createDataFrame(edges * 10, "src long, dst long, weight double")  # parallel edges add up
+    before = shuffled(spark)
+    found = {r["node"]: r["community"] for r in N.louvain(e).collect()}
+    assert shuffled(spark) - before < len(edges) * 10
+    assert len(set(found.values())) == 4 and all(found[x] == found[lo] for lo, hi in groups for x in (lo + 9, hi, hi + 9))
