@@ -114,3 +114,10 @@ def test_louvain_shuffles_no_edges(spark):
     found = {r["node"]: r["community"] for r in N.louvain(e).collect()}
     assert shuffled(spark) - before < len(edges) * 10
     assert len(set(found.values())) == 4 and all(found[x] == found[lo] for lo, hi in groups for x in (lo + 9, hi, hi + 9))
+
+
+@pytest.mark.parametrize("name", ["matrix_product"])
+def test_edges_are_not_grouped_before(spark, name):
+    pairs, before = queries.part_pairs(spark, DATA).count(), shuffled(spark)
+    QUERIES[name](spark, DATA).collect()
+    assert shuffled(spark) - before < pairs // 2
