@@ -116,7 +116,7 @@ def test_louvain_shuffles_no_edges(spark):
     assert len(set(found.values())) == 4 and all(found[x] == found[lo] for lo, hi in groups for x in (lo + 9, hi, hi + 9))
 
 
-@pytest.mark.parametrize("name", ["matrix_product"])
+@pytest.mark.parametrize("name", ["matrix_product", "structural_similarity"])
 def test_edges_are_not_grouped_before(spark, name):
     pairs, before = queries.part_pairs(spark, DATA).count(), shuffled(spark)
     QUERIES[name](spark, DATA).collect()
