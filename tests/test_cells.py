@@ -121,3 +121,10 @@ def test_edges_are_not_grouped_before(spark, name):
     pairs, before = queries.part_pairs(spark, DATA).count(), shuffled(spark)
     QUERIES[name](spark, DATA).collect()
     assert shuffled(spark) - before < pairs // 2
+
+
+def test_motifs_write_edges_once(spark, monkeypatch):
+    names, write = [], K.write
+    monkeypatch.setattr(K, "write", lambda e, n, ids, name, *more, **named: names.append(name) or write(e, n, ids, name, *more, **named))
+    M.motifs(spark.createDataFrame(random_graph(7, 12, 30), "src long, dst long"), 4).collect()
+    assert sorted(names) == ["degrees", "oriented"]

@@ -299,8 +299,7 @@ def motifs(edges: DataFrame, size: int) -> DataFrame:
         return edges.sparkSession.createDataFrame(rows, "kind string, n long")
     stars = one(d, (x * (x - 1) * (x - 2) / 6).cast("long"))
     paths = one(ways.run(cells.paths, "n long"), "n") - 3 * t
-    both = cells.write(ways.simple, ways.n, None, "both")
-    sums = table(both.run(cells.quads, "every long, edges long, paws long"), "quads")
+    sums = table(ways.run(cells.quads, "every long, edges long, paws long"), "quads")
     cycles, diamonds, paws = one(sums, "every") // 2, one(sums, "edges"), one(sums, "paws") // 2
     cliques = one(ways.run(cells.cliques, "n long"), "n")
     diamond = diamonds - 6 * cliques
