@@ -135,3 +135,16 @@ def test_proximity_in_every_document_of_a_shard(spark):
     out = D.contamination(index, items, slop=50)
     near = {r["doc"] for r in out.filter("n_near = 1").collect()}
     assert near == {k for k, t in docs if abs(t.split().index("alpha") - t.split().index("gamma")) <= 50 and abs(t.split().index("alpha") - t.split().index("beta")) <= 50}
+
+
+def test_no_task_indexes_more_than_its_share(spark, monkeypatch):
+    with D.session_conf(spark, {"spark.sql.shuffle.partitions": "4"}):
+        monkeypatch.setattr(D, "BLOCK_BITS", 6)
+        few, many = (spark.range(a, b).select(F.col("id").alias("doc_id"), F.concat(F.lit("own"), "id").alias("text")).coalesce(1) for a, b in ((0, 70), (100, 330)))
+        index = D.build_index(few.union(many))
+        file = F.input_file_name().alias("file")
+        held = index.filter("term IS NULL").select(file, "shard", "head.doc")
+        per = sorted(n for _, n in rows_of(held.groupBy("file").count(), "file", "count"))
+        assert sum(per) == 300 and len(per) == 4 and per[-1] <= 76  # a quarter, and one more for each task read
+        assert max(n for _, n in rows_of(held.groupBy("shard").count(), "shard", "count")) == 64
+        assert held.select("shard", "file").distinct().groupBy("shard").count().filter("count > 1").isEmpty()

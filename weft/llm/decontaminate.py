@@ -1,9 +1,9 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. build_index() writes one list for each word
-and shard of 2^BLOCK_BITS documents, (term, shard, n, places), ordered by the word in each file; a place is the document's
-number in its shard and the word's number in it, in one long. Documents are dealt to their shards, once, and their lists are
-put together there; postings are not shuffled. A row without a word heads each document: its id, word count and mark. A word
+and shard of up to 2^BLOCK_BITS documents, (term, shard, n, places), ordered by the word in each file; a place is the
+document's number in its shard and the word's number in it, in one long. Documents are dealt out evenly, once, and their lists
+are put together where they went, so no task sorts more than its share; postings are not shuffled. A row without a word heads each document: its id, word count and mark. A word
 that a third of the corpus says has a list of its own in every shard, so no list is hot.
 
 phrase_matches() looks test items up. Frequencies come from the lists' lengths alone. In every window of an item its two
@@ -30,8 +30,8 @@ from .common import broadcast_if_small, lower_az, session_conf, small, table
 WINDOW, SLOP = 10, 50
 #: What parts words before A-Z are lower-cased.
 APART = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Documents of a shard, as a number of bits, and bits of a word's number in its document.
-BLOCK_BITS, PLACE_BITS = 12, 48
+#: Documents of a shard at most, as a number of bits, and bits of a word's number in its document.
+BLOCK_BITS, PLACE_BITS = 13, 48
 #: Words of an item that are looked at together.
 STRETCH = 1000
 #: Rows up to which what grows with the benchmark, and with the corpus, is broadcast (and both up to a size in bytes).
@@ -52,9 +52,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The index as a written table: (term, shard, head, n, places); a row without a term for each document, with its head."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    # A task's documents are numbered from its number times 2^33; its shards go to different tasks.
-    part = F.pmod(F.shiftright("row", 33) + F.shiftright("row", BLOCK_BITS).bitwiseAND((1 << 33 - BLOCK_BITS) - 1) * 7919, F.lit(parts))
-    dealt = given.withColumn("part", part.cast("int")).repartitionById(parts, F.col("part"))
+    # A task's documents are numbered from its number times 2^33. They go round to all parts, so none holds more than its
+    # share, and are numbered again there: a shard is of one part.
+    part = F.pmod(F.shiftright("row", 33) + F.col("row").bitwiseAND((1 << 33) - 1), F.lit(parts))
+    dealt = given.select(part.cast("int").alias("part"), "doc", "text").repartitionById(parts, F.col("part")).withColumn("row", F.monotonically_increasing_id())
     at = F.shiftleft(F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1), PLACE_BITS)
     rows = dealt.select("part", F.shiftright("row", BLOCK_BITS).alias("shard"), at.alias("at"), "doc", F.xxhash64("text").alias("mark"), pieces("text").alias("words"))
     head = F.struct("at", "doc", F.size("words").cast("long").alias("n_words"), "mark")
