@@ -148,3 +148,9 @@ def test_no_task_indexes_more_than_its_share(spark, monkeypatch):
         assert sum(per) == 300 and len(per) == 4 and per[-1] <= 76  # a quarter, and one more for each task read
         assert max(n for _, n in rows_of(held.groupBy("shard").count(), "shard", "count")) == 64
         assert held.select("shard", "file").distinct().groupBy("shard").count().filter("count > 1").isEmpty()
+
+
+def test_few_documents_have_few_shards(spark):
+    with D.session_conf(spark, {"spark.sql.shuffle.partitions": "50"}):
+        docs = spark.range(0, 500, 1, 2).select(F.col("id").alias("doc_id"), F.lit("all say this").alias("text"))
+        assert D.build_index(docs).filter("term = 'this'").count() == 2

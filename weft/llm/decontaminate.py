@@ -50,7 +50,9 @@ def lowered(word: str) -> Column:
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index as a written table: (term, shard, head, n, places); a row without a term for each document, with its head."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many parts as tasks read, more if these have more than half a shard each: each shard has lists of its own.
+    n, last = docs.select(F.spark_partition_id().alias("t")).agg(F.count("*"), F.max("t")).first()
+    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max((last or 0) + 1, -(-n * 2 >> BLOCK_BITS))))
     given = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     # A task's documents are numbered from its number times 2^33. They go round to all parts, so none holds more than its
     # share, and are numbered again there: a shard is of one part.
